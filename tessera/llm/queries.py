@@ -16,12 +16,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.embedding_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op9_packing,)}
-
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embedding_dedup, op9_packing)}
+
+#: Exact links by a self-join within labels, then the smallest reachable id by a recursive walk.
+OP1_SQL = """
+WITH RECURSIVE good AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM good a JOIN good b
+    ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.98),
+walk(x, y) AS (SELECT vec_id, vec_id FROM good UNION SELECT walk.x, links.y FROM walk JOIN links ON walk.y = links.x),
+low AS (SELECT x, min(y) AS component_id FROM walk GROUP BY x),
+deg AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT e.vec_id, CAST(coalesce(deg.n, 0) AS BIGINT) AS n_links, coalesce(low.component_id, e.vec_id) AS component_id,
+       coalesce(e.vec_id = coalesce(low.component_id, e.vec_id), false) AS kept
+FROM embeddings e LEFT JOIN low ON low.x = e.vec_id LEFT JOIN deg ON deg.x = e.vec_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_embedding_dedup": OP1_SQL}
