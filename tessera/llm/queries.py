@@ -22,13 +22,19 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.jaccard_join import similarity_join
+
+    return similarity_join(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embedding_dedup, op9_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embedding_dedup, op7_jaccard_join, op9_packing)}
 
 #: Exact links by a self-join within labels, then the smallest reachable id by a recursive walk.
 OP1_SQL = """
@@ -48,4 +54,25 @@ SELECT e.vec_id, CAST(coalesce(deg.n, 0) AS BIGINT) AS n_links, coalesce(low.com
 FROM embeddings e LEFT JOIN low ON low.x = e.vec_id LEFT JOIN deg ON deg.x = e.vec_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_embedding_dedup": OP1_SQL}
+#: Exact: every shingle by itself, pairs that share one, then the smallest reachable id by a recursive walk.
+OP7_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id),
+half AS (
+  SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 5 * c >= 4 * (p.n + q.n - c)),
+links AS (SELECT x, y FROM half UNION ALL SELECT y, x FROM half),
+walk(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT walk.x, links.y FROM walk JOIN links ON walk.y = links.x),
+low AS (SELECT x, min(y) AS class_id FROM walk GROUP BY x),
+deg AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT d.doc_id, low.class_id, CAST(coalesce(deg.n, 0) AS BIGINT) AS n_links, d.doc_id = low.class_id AS kept
+FROM documents d JOIN low ON low.x = d.doc_id LEFT JOIN deg ON deg.x = d.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_embedding_dedup": OP1_SQL, "op7_jaccard_join": OP7_SQL}
