@@ -22,19 +22,33 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.media import media_features
+
+    return media_features(table(spark, sf_dir, "documents"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.jaccard_join import similarity_join
 
     return similarity_join(table(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages, by a model fitted on a bounded sample of the documents' languages."""
+    from tessera.llm.language_id import fit, identify
+
+    langs, model = fit(table(spark, sf_dir, "documents"), "text", "lang", "doc_id")
+    return identify(table(spark, sf_dir, "pages"), langs, model, "page_id", "html", url_col="url", markup=True)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embedding_dedup, op7_jaccard_join, op9_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embedding_dedup, op6_media_columns, op7_jaccard_join, op8_language_id, op9_packing)}
 
 #: Exact links by a self-join within labels, then the smallest reachable id by a recursive walk.
 OP1_SQL = """
