@@ -60,7 +60,13 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embedding_dedup, op2_pii, op4_toxicity, op6_media_columns, op7_jaccard_join, op8_language_id, op9_packing)}
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.mixing import document_rates
+
+    return document_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embedding_dedup, op2_pii, op4_toxicity, op6_media_columns, op7_jaccard_join, op8_language_id, op9_packing, op10_mixing)}
 
 #: Exact links by a self-join within labels, then the smallest reachable id by a recursive walk.
 OP1_SQL = """
