@@ -57,14 +57,14 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: flo
             low = mix(mins).astype(np.uint16)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), pa.array(sizes), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()),
+                    batch.column(0), batch.column(2), pa.array(sizes), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()),
                     pa.array([row.tobytes() for row in low], pa.binary()), pa.array(list(paths.astype(np.int64)), pa.list_(pa.int64())),
                 ],
-                ["id", "size", "k1", "k2", "sketch", "paths"],
+                ["id", "text_hash", "size", "k1", "k2", "sketch", "paths"],
             )
 
     rows = docs.select(long_id(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(sketch, "id long, size long, k1 long, k2 long, sketch binary, paths array<long>")
+    return rows.select("id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(sketch, "id long, text_hash long, size long, k1 long, k2 long, sketch binary, paths array<long>")
 
 
 def _likely(table: pa.Table, keys: list[str], least: int) -> Iterator[pa.RecordBatch]:
@@ -185,7 +185,7 @@ def _exact(table: pa.Table, shingle: Shingler, times: int, over: int) -> Iterato
 
 def similarity_join(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, similarity: tuple[int, int] = (4, 5),
-    recall: float = 0.9999, leaf: int = 128, depth: int = 4, slack: float = 0.2, block: int = 256,
+    recall: float = 0.9999, leaf: int = 128, depth: int = 4, slack: float = 0.2, block: int = 256, with_hash: bool = False,
 ) -> DataFrame:
     """One row per row of docs: id, class_id, n_links, kept.
 
@@ -220,16 +220,23 @@ def similarity_join(
     group = written(group.join(found.groupBy("cid").agg(F.sum("n").alias("n")), "cid", "left"), "groups")
     low = written(group.groupBy("component").agg(F.min("rep").alias("class_id")), "lowest")
     result = written(group.join(low, "component").select("cid", "class_id", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links")), "classes")
-    out = sig.select("id", F.when(F.col("size") > 0, F.xxhash64("k1", "k2", "size")).alias("cid")).join(result, "cid", "left")
-    out = out.select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return out.select(id_back("id").alias(id_col), id_back("class_id").alias("class_id"), "n_links", (F.col("id") == F.col("class_id")).alias("kept"))
+    out = sig.select("id", "text_hash", F.when(F.col("size") > 0, F.xxhash64("k1", "k2", "size")).alias("cid")).join(result, "cid", "left")
+    out = out.select("id", "text_hash", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select(id_back("id").alias(id_col), id_back("class_id").alias("class_id"), "n_links", (F.col("id") == F.col("class_id")).alias("kept"), *(["text_hash"] if with_hash else []))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of docs that stay when of each class of similarity_join one document is kept: that of the smallest id.
 
-    Wordless and null texts all stay. A repeated row (same id, same text) stays once.
+    Wordless and null texts all stay, but a repeated row (same id, same text) stays once.
     """
-    keep = written(similarity_join(docs, id_col, text_col, **how).where("kept").select(F.coalesce(F.col(id_col), F.lit(NULL_ID)).alias("__keep")).distinct(), "keep")
-    key = docs.withColumn("__keep", long_id(id_col)).join(keep, "__keep", "left_semi")
-    return key.dropDuplicates(["__keep", text_col]).drop("__keep").select(*docs.columns)
+    judged = similarity_join(docs, id_col, text_col, with_hash=True, **how)
+    judged = written(judged.select(F.coalesce(F.col(id_col), F.lit(NULL_ID)).alias("__id"), F.col("text_hash").alias("__text"), "kept"), "judged")
+    drop = written(judged.where("NOT kept").select("__id", "__text").distinct(), "drop")
+    keyed = docs.withColumns({"__id": long_id(id_col), "__text": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+    left = keyed.join(drop, ["__id", "__text"], "left_anti")
+    if judged.where("kept").groupBy("__id").count().where("count > 1").take(1):  # rows that share an id: of equal ones, one stays
+        wordy = judged.groupBy("__id", "__text").agg(F.count("*").alias("__times")).where("__times > 1")
+        again = left.join(written(wordy, "again"), ["__id", "__text"], "left")
+        left = again.where("__times IS NULL").unionByName(again.where("__times IS NOT NULL").dropDuplicates(["__id", "__text"]))
+    return left.select(*docs.columns)

@@ -8,6 +8,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm.warc import report_sql
+
 #: The tokenizer file that packing counts by; a parameter of the deployment.
 TOKENIZER = os.environ.get("TESSERA_TOKENIZER", "") or public_tokenizers.path("byte_bpe_50k.json")
 
@@ -28,6 +30,12 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.warc import report
+
+    return report(table(spark, sf_dir, "pages"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.toxicity import score
 
@@ -66,7 +74,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embedding_dedup, op2_pii, op4_toxicity, op6_media_columns, op7_jaccard_join, op8_language_id, op9_packing, op10_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embedding_dedup, op2_pii, op3_warc, op4_toxicity, op6_media_columns, op7_jaccard_join, op8_language_id, op9_packing, op10_mixing)}
 
 #: Exact links by a self-join within labels, then the smallest reachable id by a recursive walk.
 OP1_SQL = """
@@ -107,4 +115,4 @@ SELECT d.doc_id, low.class_id, CAST(coalesce(deg.n, 0) AS BIGINT) AS n_links, d.
 FROM documents d JOIN low ON low.x = d.doc_id LEFT JOIN deg ON deg.x = d.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_embedding_dedup": OP1_SQL, "op7_jaccard_join": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_embedding_dedup": OP1_SQL, "op3_warc": report_sql(), "op7_jaccard_join": OP7_SQL}
