@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tessera.llm.shared import long_id, written
 
 DOMAINS = ("high", "low", "toxic")
-TARGETS = {"high": 0.90, "low": 0.07, "toxic": 0.03}
+TARGETS = {"high": 0.88, "low": 0.07, "toxic": 0.05}
 BINS = 8
 _WORD = r"[\p{L}\p{N}_]+"
 
@@ -32,6 +32,11 @@ def _binned(x: Column, *edges: float) -> Column:
     return out
 
 
+def _let(value: Column, then) -> Column:
+    """then(value), with value made once: inside a lambda it is a variable, not an expression to repeat."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def _features(text: Column, words: Column, lists: list[list[str]]) -> Column:
     """array<int>: binned shape of a text, then whether it holds words that mark each domain."""
     n, w = F.greatest(F.length(text), F.lit(1)), F.greatest(F.size(words), F.lit(1))
@@ -100,22 +105,17 @@ class Mixer:
         return np.concatenate([table, np.broadcast_to(np.log(prior / prior.sum()), (1, BINS, len(self.domains)))])
 
     def _row(self, text: Column) -> Column:
-        """struct<tokens, post> of a text; words are cut once."""
+        """struct<tokens, post> of a text; words and features are made once."""
         words = F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0))
-        made = F.transform(F.array(words), lambda w: F.struct(F.size(w).cast("double").alias("tokens"), self._posterior(_features(text, w, self.lists)).alias("post")))
-        return F.element_at(made, 1)
+        return _let(words, lambda w: F.struct(F.size(w).cast("double").alias("tokens"), _let(_features(text, w, self.lists), self._posterior).alias("post")))
 
     def _posterior(self, features: Column) -> Column:
-        out = []
+        places = F.zip_with(features, F.sequence(F.lit(0), F.size(features) - 1), lambda b, f: f * BINS + b + 1)
         flat = [F.array(*[F.lit(float(x)) for x in self.table[:-1, :, k].ravel()]) for k in range(len(self.domains))]
-        for k in range(len(self.domains)):
-            places = F.zip_with(features, F.sequence(F.lit(0), F.size(features) - 1), lambda b, f: f * BINS + b + 1)
-            logs = F.aggregate(places, F.lit(0.0), self._add(flat[k]))
-            out.append(F.lit(float(self.table[-1, 0, k])) + F.lit(self.temper) * logs)
-        scores = F.array(*out)
-        made = F.transform(F.array(scores), lambda s: F.transform(s, lambda x: F.exp(x - F.array_max(s))))
-        raised = F.element_at(made, 1)
-        return F.element_at(F.transform(F.array(raised), lambda r: F.transform(r, lambda x: x / F.aggregate(r, F.lit(0.0), lambda a, y: a + y))), 1)
+        scores = lambda at: F.array(*[F.lit(float(self.table[-1, 0, k])) + F.lit(self.temper) * F.aggregate(at, F.lit(0.0), self._add(flat[k])) for k in range(len(self.domains))])
+        raised = lambda x: _let(F.array_max(x), lambda top: F.transform(x, lambda v: F.exp(v - top)))
+        share = lambda x: _let(F.aggregate(x, F.lit(0.0), lambda a, v: a + v), lambda total: F.transform(x, lambda v: v / total))
+        return _let(_let(_let(places, scores), raised), share)
 
     @staticmethod
     def _add(logs: Column):
@@ -129,7 +129,7 @@ class Mixer:
         start = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y"))
         if not self.steps:
             return start
-        steps = F.array(*[F.struct(F.array(*[F.lit(x) for x in g]).alias("g"), F.lit(m).alias("m")) for g, m in self.steps])
+        steps = F.expr("array(" + ", ".join(f"named_struct('g', array({', '.join(f'{x!r}D' for x in g)}), 'm', {m!r}D)" for g, m in self.steps) + ")")
 
         def step(acc: Column, x: Column) -> Column:
             slope = F.aggregate(F.zip_with(post, x["g"], lambda p, g: p * g), F.lit(0.0), lambda a, v: a + v)
@@ -150,35 +150,38 @@ class Mixer:
         # Domains overlap and differ in size; in whitened coordinates the curvature is 1, and so is the step.
         whiten = np.linalg.pinv(curve, rcond=1e-9)
         goal = np.array([targets[d] for d in self.domains]) / sum(targets.values())
-        t = 1.0
+        t, far = 1.0, []
         for _ in range(rounds):
             state = rows.select("tokens", "post", self.rates(F.col("post")).alias("s"))
             sums = state.agg(*[F.sum(F.col("tokens") * F.col("post")[i] * F.col(f"s.{v}")) for v in "ry" for i in range(size)]).first()
             at_r, at_y = (np.array([float(x) for x in half]) / total for half in (sums[:size], sums[size:]))
             self.residual = at_r - goal
-            if np.abs(self.residual).max() <= tolerance:
+            far.append(float(np.abs(self.residual).max()))
+            if far[-1] <= tolerance or len(far) > 8 and min(far[-4:]) > 0.98 * min(far[:-4]):  # reached, or out of reach
                 return
             after = (1 + math.sqrt(1 + 4 * t * t)) / 2
             self.steps.append(([float(x) for x in whiten @ (at_y - goal)], (t - 1) / after))
             t = after
 
     def apply(self, docs: DataFrame, id_col: str) -> DataFrame:
-        """docs with __row (tokens, post), __rate and __copies: the rate rounded up or down by a hash of the id and text."""
+        """docs with __row (tokens, post, rate), __rate and __copies: the rate rounded up or down by a hash of the id and text."""
         chance = F.pmod(F.xxhash64(F.lit("mixing"), long_id(id_col), self._text()), F.lit(1 << 20)) / F.lit(float(1 << 20))
-        out = docs.withColumn("__row", self._row(self._text())).withColumn("__rate", self.rates(F.col("__row.post"))["r"])
-        return out.withColumn("__copies", F.floor(F.col("__rate") + chance).cast("int"))
+        whole = _let(self._row(self._text()), lambda x: F.struct(x["tokens"].alias("tokens"), x["post"].alias("post"), self.rates(x["post"])["r"].alias("rate")))
+        # The zero times a random number keeps filters on the copies above this projection: below, all would be made twice.
+        out = docs.withColumn("__row", whole).withColumn("__copies", F.floor(F.col("__row.rate") + chance + F.lit(0.0) * F.rand(0)).cast("int"))
+        return out.withColumn("__rate", F.col("__row.rate"))
 
 
 def mixer(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: dict[str, float] | None = None, max_labelled: int = 20_000,
-    per_domain: int = 64, temper: float = 0.6, rounds: int = 40, tolerance: float = 1e-4,
+    per_domain: int = 64, temper: float = 0.6, rounds: int = 30, tolerance: float = 1e-4,
 ) -> Mixer:
     """Fits domain posteriors on at most max_labelled labelled rows and rates on all of docs.
 
     The token budget is docs' own number of words; targets are shares of it. Null texts count as empty and have no
     tokens, null ids have no label; repeated rows count as often as they come; with no labels all domains are equally
     likely everywhere; an empty table keeps every rate at 1. A domain that no document can belong to is missed by as
-    much as it must be after `rounds` steps.
+    much as it must be; steps end when they no longer help, or after `rounds`.
     """
     labelled = labels.select(F.col(id_col).cast("long").alias("__id"), label_domain().alias("__domain"))
     return Mixer(docs, labelled, id_col, text_col, targets or TARGETS, max_labelled, per_domain, temper, rounds, tolerance)
