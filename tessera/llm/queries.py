@@ -42,6 +42,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.substring_dedup import deduplicate
+
+    return deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.media import media_features
 
@@ -74,7 +80,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embedding_dedup, op2_pii, op3_warc, op4_toxicity, op6_media_columns, op7_jaccard_join, op8_language_id, op9_packing, op10_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embedding_dedup, op2_pii, op3_warc, op4_toxicity, op5_substring_dedup, op6_media_columns, op7_jaccard_join, op8_language_id, op9_packing, op10_mixing)}
 
 #: Exact links by a self-join within labels, then the smallest reachable id by a recursive walk.
 OP1_SQL = """
