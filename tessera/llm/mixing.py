@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import long_id, written
+from tessera.llm.shared import id_back, long_id, written
 
 DOMAINS = ("high", "low", "toxic")
 TARGETS = {"high": 0.88, "low": 0.07, "toxic": 0.05}
@@ -26,10 +26,7 @@ def label_domain() -> Column:
 
 def _binned(x: Column, *edges: float) -> Column:
     """How many of the edges x reaches, 0 to BINS - 1."""
-    out = F.lit(0)
-    for e in edges:
-        out = out + (x >= F.lit(e)).cast("int")
-    return out
+    return _let(x, lambda v: sum(((v >= F.lit(e)).cast("int") for e in edges), F.lit(0)))
 
 
 def _let(value: Column, then) -> Column:
@@ -64,8 +61,9 @@ class Mixer:
         self.table = self._fit(examples)
         self.steps: list[tuple[list[float], float]] = []
         self.residual = np.zeros(len(self.domains))
-        rows = written(texts.select("__text").select(self._row(F.col("__text")).alias("x")).select("x.tokens", "x.post"), "posteriors")
-        self._descend(rows, targets, rounds, tolerance)
+        rows = texts.select("__id", F.xxhash64("__text").alias("__text_hash"), self._row(F.col("__text")).alias("x"))
+        self.rows = written(rows.select("__id", "__text_hash", "x.tokens", "x.post"), "posteriors")
+        self._descend(self.rows, targets, rounds, tolerance)
 
     def _text(self) -> Column:
         return F.coalesce(F.col(self.text_col), F.lit(""))
@@ -165,13 +163,18 @@ class Mixer:
 
     def apply(self, docs: DataFrame, id_col: str) -> DataFrame:
         """docs with __row (tokens, post, rate), __rate and __copies: the rate rounded up or down by a hash of the id and text."""
-        chance = F.pmod(F.xxhash64(F.lit("mixing"), long_id(id_col), self._text()), F.lit(1 << 20)) / F.lit(float(1 << 20))
+        chance = _chance(long_id(id_col), F.xxhash64(self._text()))
         whole = _let(self._row(self._text()), lambda x: F.struct(x["tokens"].alias("tokens"), x["post"].alias("post"), self.rates(x["post"])["r"].alias("rate")))
         # The zero times a random number keeps filters on the copies above this projection: below, all would be made twice.
         out = docs.withColumn("__row", whole).withColumn("__copies", F.floor(F.col("__row.rate") + chance + F.lit(0.0) * F.rand(0)).cast("int"))
         return out.withColumn("__rate", F.col("__row.rate"))
 
 
+def _chance(id_: Column, text_hash: Column) -> Column:
+    """A number in [0, 1) that is the same for the same id and text in every run."""
+    return F.pmod(F.xxhash64(F.lit("mixing"), id_, text_hash), F.lit(1 << 20)) / F.lit(float(1 << 20))
+
+
 def mixer(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: dict[str, float] | None = None, max_labelled: int = 20_000,
     per_domain: int = 64, temper: float = 0.6, rounds: int = 30, tolerance: float = 1e-4,
@@ -190,8 +193,9 @@ def mixer(
 def document_rates(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """One row per row of docs: id, n_tokens, p_<domain>..., rate, copies. Edge cases as for mixer; other columns are ignored."""
     fitted = mixer(docs.select(id_col, text_col), labels, id_col, text_col, **how)
-    rows = fitted.apply(docs.select(id_col, text_col), id_col)
-    return rows.select(F.col(id_col).cast("long").alias(id_col), F.col("__row.tokens").cast("long").alias("n_tokens"), *[F.col("__row.post")[k].alias(f"p_{d}") for k, d in enumerate(fitted.domains)], F.col("__rate").alias("rate"), F.col("__copies").alias("copies"))
+    rows = fitted.rows.withColumn("rate", fitted.rates(F.col("post"))["r"])
+    copies = F.floor(F.col("rate") + _chance(F.col("__id"), F.col("__text_hash"))).cast("int")
+    return rows.select(id_back("__id").alias(id_col), F.col("tokens").cast("long").alias("n_tokens"), *[F.col("post")[k].alias(f"p_{d}") for k, d in enumerate(fitted.domains)], "rate", copies.alias("copies"))
 
 
 def mixed(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
