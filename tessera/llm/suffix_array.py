@@ -21,49 +21,52 @@ def s_types(s: np.ndarray) -> np.ndarray:
 
 def _deal(chars: np.ndarray, values: np.ndarray, into: list[list[np.ndarray]]) -> None:
     """Appends values to the buckets of their characters, in order."""
-    order = np.argsort(chars, kind="stable")
+    if len(values) == 0:
+        return
+    order = chars.argsort(kind="stable")
     chars, values = chars[order], values[order]
-    cuts = np.flatnonzero(chars[1:] != chars[:-1]) + 1
-    for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(chars)], strict=True):
-        if hi > lo:
-            into[int(chars[lo])].append(values[lo:hi])
+    cuts = (chars[1:] != chars[:-1]).nonzero()[0] + 1
+    lo = 0
+    for hi in (*cuts.tolist(), len(chars)):
+        into[int(chars[lo])].append(values[lo:hi])
+        lo = hi
 
 
 def _induce(s: np.ndarray, is_s: np.ndarray, lms: np.ndarray, k: int) -> np.ndarray:
     """The order of all suffixes that an order of the leftmost smaller ones gives: larger ones forward, then smaller ones backward."""
     n = len(s)
+    none = np.zeros(0, np.int64)
+    joined = lambda parts: np.concatenate(parts) if len(parts) > 1 else parts[0] if parts else none
     stars: list[list[np.ndarray]] = [[] for _ in range(k)]
     larger: list[list[np.ndarray]] = [[] for _ in range(k)]
     smaller: list[list[np.ndarray]] = [[] for _ in range(k)]
     _deal(s[lms], lms, stars)
     larger[int(s[n - 1])].append(np.array([n - 1]))
+
+    def spread(of: np.ndarray, want: bool, into: list[list[np.ndarray]]) -> None:
+        before = of[of > 0] - 1
+        before = before[is_s[before] == want]
+        _deal(s[before], before, into)
+
     for c in range(k):
-        at, own = 0, larger[c]
-        while at < len(own):  # what a bucket adds to itself is read in turn
-            before = own[at] - 1
-            before = before[before >= 0]
-            before = before[~is_s[before]]
-            _deal(s[before], before, larger)
-            at += 1
-        for part in stars[c]:
-            before = part - 1
-            before = before[before >= 0]
-            _deal(s[before], before, larger)
+        own, done = larger[c], []
+        while own:  # what a bucket adds to itself is read in turn
+            part = joined(own)
+            own.clear()
+            done.append(part)
+            spread(part, False, larger)
+        larger[c] = [joined(done)]
+        spread(joined(stars[c]), False, larger)
     for c in range(k - 1, -1, -1):
-        at, own = 0, smaller[c]  # held last suffix first
-        while at < len(own):
-            before = own[at] - 1
-            before = before[before >= 0]
-            before = before[is_s[before]]
-            _deal(s[before], before, smaller)
-            at += 1
-        for part in reversed(larger[c]):
-            before = part[::-1] - 1
-            before = before[before >= 0]
-            before = before[is_s[before]]
-            _deal(s[before], before, smaller)
-    parts = [p for c in range(k) for p in (*larger[c], *(q[::-1] for q in reversed(smaller[c])))]
-    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        own, done = smaller[c], []  # held last suffix first
+        while own:
+            part = joined(own)
+            own.clear()
+            done.append(part)
+            spread(part, True, smaller)
+        smaller[c] = [joined(done)]
+        spread(larger[c][0][::-1], True, smaller)
+    return np.concatenate([p for c in range(k) for p in (larger[c][0], smaller[c][0][::-1])])
 
 
 def _by_doubling(s: np.ndarray) -> np.ndarray:
