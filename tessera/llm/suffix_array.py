@@ -126,7 +126,7 @@ def suffix_array(s: np.ndarray, k: int) -> np.ndarray:
 def permuted_prefixes(s: np.ndarray, order: np.ndarray, cap: int) -> np.ndarray:
     """For each suffix in text order, its common prefix with the suffix before it in the array, at most cap (a multiple of 4)."""
     n = len(s)
-    padded = np.r_[s.astype(np.uint64), np.zeros(cap + 4, np.uint64)]
+    padded = np.r_[s.astype(np.uint64), np.full(cap + 4, 0xFFFF, np.uint64)]  # past the end nothing is equal
     word = padded[:-3] | padded[1:-2] << np.uint64(16) | padded[2:-1] << np.uint64(32) | padded[3:] << np.uint64(48)
     before = np.full(n, -1)
     before[order[1:]] = order[:-1]

@@ -137,9 +137,10 @@ def calibration(raw: np.ndarray, label: np.ndarray) -> tuple[float, np.ndarray,
 
 
 def passage(text: str) -> int:
-    """A min-hash of the longer words: equal for copies and for most near copies, which are one piece of evidence."""
-    words = {w for w in _WORDS(text.lower()) if len(w) > STEM}
-    return min((zlib.crc32(w.encode("utf-8", "surrogatepass")) * 0x9E3779B1 & 0xFFFFFFFF for w in words), default=zlib.crc32(text.encode("utf-8", "surrogatepass")))
+    """A min-hash of the three-word shingles: equal for copies and for most near copies, which are one piece of evidence."""
+    w = _WORDS(text.lower())
+    shingles = {" ".join(x) for x in zip(w, w[1:], w[2:])} or {text}  # noqa: B905
+    return min(zlib.crc32(x.encode("utf-8", "surrogatepass")) * 0x9E3779B1 & 0xFFFFFFFF for x in shingles)
 
 
 def vocabulary(counts: list[tuple[str, int, int]], n: int, positive: int, size: int, chance: float, tested: int) -> list[str]:
