@@ -254,7 +254,7 @@ def repeated_spans(docs: DataFrame, length: int, shard_bytes: int, bits: int) ->
     return spans.unionByName(settled.where("kind = 0").select("id", "th", "start", "stop"))
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, shard_bytes: int = 4 << 20, bits: int = 24, with_text: bool = False) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, shard_bytes: int = 2 << 20, bits: int = 24, with_text: bool = False) -> DataFrame:
     """One row per row of docs: id, n_bytes, n_removed, n_spans, kept_sha256, and kept (bytes) if with_text.
 
     Removed is every byte that a `length`-byte string covers which also starts earlier: in a smaller id, or before it
