@@ -1,4 +1,4 @@
-"""Language identification by Bayesian fusion of text, declared markup language, address suffix and host priors."""
+"""Language identification: text, declared markup language, address suffix and host priors combined by Bayes' rule."""
 
 from __future__ import annotations
 
