@@ -31,7 +31,8 @@ def trigrams(text: str) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, text_col: str, label_col: str, id_col: str, per_label: int = 1000) -> tuple[list[str], np.ndarray]:
-    """(languages, log P(trigram | language)) from at most per_label labelled rows per language, those of smallest hash.
+    """(languages, log P(trigram | language)) from at most per_label labelled rows per language, those of smallest hash
+    (a repeated id may bring more).
 
     Rows whose text or label is null are passed over. The labels are those present in the table; more than 64 of them
     are refused.
@@ -52,8 +53,9 @@ def fit(labelled: DataFrame, text_col: str, label_col: str, id_col: str, per_lab
 
     table = np.full((len(labels), BUCKETS), 0.5)
     for i, label in enumerate(labels):
-        # The bound on each language is small and fixed: sorting keeps only that many rows per task.
-        some = rows.where(F.col("l") == label).orderBy("h").limit(per_label)
+        # Hashes alone are sorted; the texts at or below the last chosen one are counted where they are read.
+        last = rows.where(F.col("l") == label).select("h").orderBy("h").limit(per_label).agg(F.max("h")).first()[0]
+        some = rows.where((F.col("l") == label) & (F.col("h") <= last))
         for r in some.select("t", "l").mapInArrow(count, "l string, k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
             table[i, r["k"]] += r["n"]
     return labels, np.log(table / table.sum(1, keepdims=True)).astype(np.float32)
