@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -18,26 +19,42 @@ WIDTH = 64  # min-hash coordinates that embed a set
 _SEEDS = mix(np.arange(1, WIDTH + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
 
-def runs_for(recall: float, threshold: float) -> int:
-    """Runs after which a pair at the threshold meets with probability recall at the least.
+def least_common(recall: float, threshold: float, slack: float) -> int:
+    """Coordinates that two sketches must share to be likely: slack below the threshold, or fewer if a pair at the threshold would fall short too often."""
+    least = int(np.floor((threshold - slack) * WIDTH))
+    while least > 0 and sum(_binomial(WIDTH, m, threshold) for m in range(least)) > (1 - recall) / 2:
+        least -= 1
+    return least
 
-    A run samples each coordinate with probability 1 / (threshold * WIDTH); a pair at the threshold shares each with
-    probability threshold, so a run misses it with probability about 1/e.
+
+def _binomial(n: int, k: int, p: float) -> float:
+    return comb(n, k) * p**k * (1 - p) ** (n - k)
+
+
+def missed(roots: int, threshold: float, depth: int, least: int) -> float:
+    """The probability that a pair at the threshold meets in no leaf, if every bucket on its way is a large one.
+
+    Of the m coordinates that the pair shares, k are roots. A path goes on from a split through each coordinate that it
+    samples, with probability 1 / (threshold * WIDTH), and is compared there and then if it samples none; so it meets
+    in `deeper` of all cases. Fewer than `least` shared coordinates count as a miss.
     """
-    miss = (1 - 1 / WIDTH) ** WIDTH
-    return int(np.ceil(np.log(1 - recall) / np.log(miss)))
+    chance, out = 1 / (threshold * WIDTH), 0.0
+    for m in range(WIDTH + 1):
+        deeper = 1.0
+        for _ in range(depth):
+            deeper = min(1.0, 1 - (1 - chance * deeper) ** m + (1 - chance) ** WIDTH)
+        of_roots = (comb(m, k) * comb(WIDTH - m, roots - k) / comb(WIDTH, roots) * (1 - deeper) ** k for k in range(roots + 1))
+        out += _binomial(WIDTH, m, threshold) * (1.0 if m < least else sum(of_roots))
+    return out
 
 
-def first_choices(threshold: float, runs: int) -> list[tuple[int, int]]:
-    """(run, coordinate) pairs that the root of each run samples; the same for all sets."""
-    r, c = np.meshgrid(np.arange(runs, dtype=np.uint64), np.arange(WIDTH, dtype=np.uint64), indexing="ij")
-    chosen = mix(r * np.uint64(1_000_003) + c + np.uint64(17)) < np.uint64(2**64 / (threshold * WIDTH))
-    return [(int(a), int(b)) for a, b in zip(r[chosen], c[chosen], strict=True)]
+def roots_for(recall: float, threshold: float, depth: int, least: int) -> int:
+    """Root coordinates, a run each and no coordinate twice, after which a pair at the threshold meets with probability recall at the least."""
+    return next((r for r in range(1, WIDTH) if missed(r, threshold, depth, least) <= 1 - recall), WIDTH)
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float, runs: int) -> DataFrame:
+def sketches(docs: DataFrame, id_col: str, text_col: str, n: int, roots: int) -> DataFrame:
     """(id, n shingles, k1, k2, sketch, paths): what stands for a document's set everywhere but in the final check."""
-    choices = first_choices(threshold, runs)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(n)
@@ -53,7 +70,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: flo
                     x = (flat ^ _SEEDS[c]) * np.uint64(0x9FB21C651E98DF25)
                     mins[some, c] = np.minimum.reduceat(x ^ (x >> np.uint64(32)), at)
             keys = [set_key(s) for s in sets]
-            paths = np.stack([mix(mins[:, c] + np.uint64(r * 4096 + c)) for r, c in choices], 1) if choices else np.zeros((len(sets), 0), np.uint64)
+            paths = np.stack([mix(mins[:, c] + np.uint64(c * 4097)) for c in range(roots)], 1)
             low = mix(mins).astype(np.uint16)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -97,7 +114,8 @@ def candidates(classes: DataFrame, threshold: float, leaf: int, depth: int, leas
     """Edges between classes that are likely similar, found at the leaves of the chosen paths.
 
     A bucket of at most `leaf` sets is compared outright. A larger one is split again on the coordinates its path
-    samples; what is still larger after `depth` splits is compared in tiles of two blocks of `leaf` sets.
+    samples; one whose path samples none, or that is still larger after `depth` splits, is compared in tiles of two
+    blocks of `leaf` sets.
     """
     spread = classes.select("cid", F.explode("paths").alias("path"))
     sketch = classes.select("cid", "sketch")
@@ -111,11 +129,14 @@ def candidates(classes: DataFrame, threshold: float, leaf: int, depth: int, leas
             path = batch.column("path").to_numpy().astype(np.uint64)
             s = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint16).reshape(-1, WIDTH)
             ids = batch.column("cid").to_numpy()
+            ended = np.ones(len(ids), bool)
             for c in range(WIDTH):  # the path alone decides, so all sets of a bucket sample alike
                 on = np.flatnonzero(mix(path + np.uint64(0x51ED270B * (c + 1))) < chance)
                 if len(on):
+                    ended[on] = False
                     down = mix(mix(path[on]) ^ (s[on, c].astype(np.uint64) << np.uint64(8) | np.uint64(c)))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[on]), pa.array(down.astype(np.int64))], ["cid", "path"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[on]), pa.array(down.astype(np.int64)), pa.array(np.zeros(len(on), bool))], ["cid", "path", "ended"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[ended]), batch.column("path").filter(pa.array(ended)), pa.array(ended[ended])], ["cid", "path", "ended"])
 
     for level in range(depth + 1):
         sizes = written(spread.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
@@ -124,10 +145,12 @@ def candidates(classes: DataFrame, threshold: float, leaf: int, depth: int, leas
         large = written(spread.join(sizes.where(F.col("n") > leaf), "path").select("cid", "path"), "large")
         if not large.take(1):
             break
+        ended = large
         if level < depth:
-            spread = written(large.join(sketch, "cid").mapInArrow(split, "cid long, path long"), "split")
-        else:
-            tiles = tiled(large, ["path"], "cid", leaf).select("cid", "path", "t1", "t2").join(sketch, "cid")
+            moved = written(large.join(sketch, "cid").mapInArrow(split, "cid long, path long, ended boolean"), "split")
+            spread, ended = moved.where("NOT ended").drop("ended"), moved.where("ended").drop("ended")
+        if ended.take(1):
+            tiles = tiled(ended, ["path"], "cid", leaf).select("cid", "path", "t1", "t2").join(sketch, "cid")
             edges.append(written(by_group(tiles, ["path", "t1", "t2"], lambda t: _likely(t, ["path", "t1", "t2"], least), "src long, dst long", 2048).distinct(), "likely"))
     out = edges[0]
     for e in edges[1:]:
@@ -201,12 +224,13 @@ def similarity_join(
     """
     times, over = similarity
     threshold = times / over
-    sig = written(sketches(docs, id_col, text_col, n, threshold, runs_for(recall, threshold)), "sketches")
+    least = least_common(recall, threshold, slack)
+    sig = written(sketches(docs, id_col, text_col, n, roots_for(recall, threshold, depth, least)), "sketches")
     sets = sig.where("size > 0")
     cid = F.xxhash64("k1", "k2", "size").alias("cid")
     classes = sets.groupBy("k1", "k2", "size").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.any_value("sketch").alias("sketch"), F.any_value("paths").alias("paths"))
     classes = written(classes.select(cid, "k1", "k2", "rep", "copies", "sketch", "paths"), "sets")
-    likely = connected_components(candidates(classes, threshold, leaf, depth, int(np.floor((threshold - slack) * WIDTH))))
+    likely = connected_components(candidates(classes, threshold, leaf, depth, least))
     near = written(classes.select("cid", "k1", "k2", "rep", "copies").join(likely.withColumnRenamed("node", "cid").withColumnRenamed("component", "comp"), "cid"), "near")
     texts = docs.select(long_id(id_col).alias("rep"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     tiles = tiled(near, ["comp"], "cid", block).join(texts, "rep")

@@ -10,8 +10,9 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from tessera.llm import media, packing, pii, substring_dedup
+from tessera.llm import jaccard_join, media, packing, pii, substring_dedup
 from tessera.llm.jaccard_join import one_of_each, similarity_join
+from tessera.llm.shared import mix
 from tessera.llm.suffix_array import permuted_prefixes, suffix_array
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -58,6 +59,22 @@ def test_jaccard_join(spark, odd, empty):
     assert kept.columns == odd.columns and sorted(map(str, [r["doc_id"] for r in kept.collect()])) == sorted(map(str, [1, 3, 4, None, 5, 8, 9, 10]))
 
 
+def test_jaccard_recall_in_large_buckets(spark):
+    """2,000 pairs at similarity 0.8 whose coordinates take four values each, so that every root bucket holds about 1,000 sets."""
+    least = jaccard_join.least_common(0.9999, 0.8, 0.2)
+    roots = jaccard_join.roots_for(0.9999, 0.8, 4, least)
+    assert jaccard_join.missed(roots, 0.8, 4, least) <= 1e-4 < jaccard_join.missed(roots - 1, 0.8, 4, least)
+    rng = np.random.default_rng(13)
+    first = rng.integers(0, 4, (2000, jaccard_join.WIDTH))
+    other = np.where(rng.random(first.shape) < 0.8, first, (first + rng.integers(1, 4, first.shape)) % 4)
+    sketch = np.stack([first, other], 1).reshape(4000, -1).astype(np.uint16)
+    paths = mix(sketch[:, :roots].astype(np.uint64) + np.arange(roots, dtype=np.uint64) * np.uint64(4097)).astype(np.int64)
+    rows = [(i, bytearray(sketch[i].tobytes()), paths[i].tolist()) for i in range(4000)]
+    classes = spark.createDataFrame(rows, "cid long, sketch binary, paths array<long>")
+    edges = {tuple(sorted(e)) for e in jaccard_join.candidates(classes, 0.8, 32, 4, least).collect()}
+    assert sum((i, i + 1) not in edges for i in range(0, 4000, 2)) <= 2  # 0.2 expected at the recall of 0.9999
+
+
 def test_pii(odd, empty):
     got = {(r["doc_id"]): r for r in pii.report(odd).collect()}
     assert (got[8]["n_email"], got[8]["n_ip"], got[8]["n_phone"], got[8]["n_card"]) == (1, 1, 1, 0)
