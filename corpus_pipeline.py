@@ -12,14 +12,19 @@ from tessera.llm.shared import NULL_ID, long_id, written
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; those without letters or with no likely language go.
 
-    The declared language is the table's own, and the source stands for the host.
+    The declared language is the table's own, and the source stands for the host. Exactly the rejected rows go: rows
+    that share an id, or have none, are told apart by what they were judged by.
     """
     from tessera.llm.language_id import fit, identify
 
     langs, model = fit(docs, "text", "lang", "doc_id")
-    judged = identify(docs, langs, model, "doc_id", "text", declared_col="lang", host_col="source")
-    bad = written(judged.where("rejected").select(F.coalesce(F.col("doc_id"), F.lit(NULL_ID)).alias("__bad")).distinct(), "rejected")
-    return docs.withColumn("__bad", long_id("doc_id")).join(bad, "__bad", "left_anti").select(*docs.columns)
+    if not langs:
+        return docs
+    parts = [F.coalesce(F.col("text"), F.lit("")), F.col("lang"), F.col("source")]
+    keyed = docs.withColumns({"__bad": long_id("doc_id"), "__row": F.sha2(F.to_json(F.array(*[p.cast("string") for p in parts])), 256)})
+    judged = identify(keyed, langs, model, "doc_id", "text", declared_col="lang", host_col="source", carried="__row")
+    bad = written(judged.where("rejected").select(F.coalesce(F.col("doc_id"), F.lit(NULL_ID)).alias("__bad"), "__row").distinct(), "rejected")
+    return keyed.join(bad, ["__bad", "__row"], "left_anti").select(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

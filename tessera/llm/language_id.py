@@ -104,7 +104,7 @@ def _sums(rows: DataFrame, by: list[str], size: int, name: str) -> DataFrame:
 
 def identify(
     docs: DataFrame, langs: list[str], model: np.ndarray, id_col: str, body_col: str, declared_col: str | None = None, url_col: str | None = None,
-    host_col: str | None = None, markup: bool = False, temper: float = 0.2, strength: float = 5.0, least: float = 0.5,
+    host_col: str | None = None, markup: bool = False, temper: float = 0.2, strength: float = 5.0, least: float = 0.5, carried: str | None = None,
 ) -> DataFrame:
     """One row per row of docs: id, lang, posterior, text_lang, declared, suffix, host, rejected.
 
@@ -114,16 +114,17 @@ def identify(
     vote twice. A row is rejected (lang null) if its body has no letters and nothing else raises a language to
     `least`, or if no language reaches it. Null bodies count as empty, null or unknown declarations, addresses and
     hosts as absent; a null id stays null; repeated rows are judged alike; an empty table gives no rows; other
-    columns are ignored. Hot hosts are summed in parts and joined with a skew-split join.
+    columns are ignored. Hot hosts are summed in parts and joined with a skew-split join. The string column `carried`,
+    if given, comes last in the result: it tells rows apart that share an id.
     """
     none = F.lit(None).cast("string")
     rows = docs.select(
-        long_id(id_col).cast("string").alias("rid"), F.col(body_col).cast("string").alias("body"),
+        (F.concat_ws(" ", long_id(id_col).cast("string"), F.col(carried)) if carried else long_id(id_col).cast("string")).alias("rid"), F.col(body_col).cast("string").alias("body"),
         (F.col(declared_col).cast("string") if declared_col else none).alias("declared"), (F.col(url_col) if url_col else none).alias("url"), (F.col(host_col) if host_col else none).alias("host"),
     )
     size = len(langs)
     if not size:
-        return docs.limit(0).select(F.col(id_col), none.alias("lang"), F.lit(0.0).alias("posterior"), none.alias("text_lang"), none.alias("declared"), none.alias("suffix"), none.alias("host"), F.lit(True).alias("rejected"))
+        return docs.limit(0).select(F.col(id_col), none.alias("lang"), F.lit(0.0).alias("posterior"), none.alias("text_lang"), none.alias("declared"), none.alias("suffix"), none.alias("host"), F.lit(True).alias("rejected"), *([F.col(carried)] if carried else []))
     seen = evidence(rows, langs, model, markup, temper).withColumn("soft", F.when(F.col("grams") > 0, _softmax(F.col("ll"))).otherwise(F.array(*[F.lit(1.0 / size)] * size)))
     seen = written(seen, "evidence")
     total = [float(x or 0.0) for x in seen.agg(*[F.sum(F.col("soft")[i]) for i in range(size)]).first()]
@@ -154,8 +155,8 @@ def identify(
     best = names[F.array_position("post", F.col("top")).cast("int") - 1]
     text = F.when(F.col("grams") > 0, names[F.array_position("soft", F.array_max("soft")).cast("int") - 1])
     blank = lambda c: F.when(F.col(c) != "", F.col(c))
-    rid = F.col("rid").cast("long")
+    rid = F.substring_index("rid", " ", 1).cast("long")
     return joined.select(
         F.when(rid != -(2**63), rid).alias(id_col), F.when(~bad, best).alias("lang"), F.col("top").alias("posterior"), text.alias("text_lang"),
-        blank("declared").alias("declared"), blank("suffix").alias("suffix"), blank("host").alias("host"), bad.alias("rejected"),
+        blank("declared").alias("declared"), blank("suffix").alias("suffix"), blank("host").alias("host"), bad.alias("rejected"), *([F.expr("substring(rid, instr(rid, ' ') + 1)").alias(carried)] if carried else []),
     )

@@ -163,6 +163,17 @@ def test_mixing(spark, odd, empty):
     assert mixing.mixed(empty, labels).count() == 0 and mixing.document_rates(empty, labels.limit(0)).count() == 0
 
 
+def test_pipeline_drops_only_rejected_rows(spark):
+    """Rows without an id, or with a shared one, are judged each by itself."""
+    rng = random.Random(12)
+    rows = [(k, _text(lang, rng), lang, "s") for k, lang in enumerate(list(WORDS) * 20)]
+    clean = [(None, _text("en", rng), "en", "s"), (None, _text("de", rng), "de", None), (3, _text("fr", rng), "fr", "t")]
+    bad = [(None, "", None, "s"), (None, None, None, None), (3, "12 !!", None, "s"), (7, "", None, "t")]
+    docs = spark.createDataFrame(rows + clean + bad, "doc_id long, text string, lang string, source string")
+    left = corpus_pipeline.language(spark, docs, SF).collect()
+    assert sorted(map(str, map(tuple, left))) == sorted(map(str, rows + clean))
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_pipeline(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
