@@ -1,12 +1,12 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index."""
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index of all their terms."""
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,80 +26,92 @@ def terms(text: str) -> list[str]:
     return words + [w[:STEM] + "-" for w in words if len(w) > STEM]
 
 
-@dataclass
 class Index:
-    """Labelled examples in blocks: per term its postings, and its largest weight in each block."""
-
-    offsets: np.ndarray  # of each term's postings
-    docs: np.ndarray  # example of each posting, ascending within a term
-    weights: np.ndarray
-    block_offsets: np.ndarray  # of each term's blocks
-    blocks: np.ndarray
-    maxima: np.ndarray
-    labels: np.ndarray
-    ids: np.ndarray
-    idf: np.ndarray
+    """Labelled examples in blocks: per term its postings, and its largest weight in each block; and each example's terms.
+
+    Only the examples' terms and counts travel; the postings are made again from them where the index arrives.
+    """
+
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, starts: np.ndarray, terms: np.ndarray, counts: np.ndarray, idf: np.ndarray):
+        self.ids, self.labels, self.starts, self.terms, self.counts, self.idf = ids, labels, starts, terms, counts, idf
+        rows = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(starts))
+        w = (1 + np.log(counts.astype(float))) * idf[terms]
+        norms = np.sqrt(np.bincount(rows, w * w, minlength=len(ids)))
+        self.own = np.divide(w, norms[rows], out=np.zeros(len(w)), where=norms[rows] > 0)
+        order = np.argsort(terms, kind="stable")
+        cols = terms[order]
+        self.docs, self.weights = rows[order], self.own[order]
+        key = cols.astype(np.int64) * (len(ids) // BLOCK + 1) + self.docs // BLOCK
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+        self.offsets = np.searchsorted(cols, np.arange(len(idf) + 1))
+        self.block_offsets = np.searchsorted(cols[first], np.arange(len(idf) + 1))
+        self.blocks = self.docs[first] // BLOCK
+        self.maxima = np.maximum.reduceat(self.weights, first) if len(first) else self.weights
+
+    def __reduce__(self):
+        return Index, (self.ids, self.labels, self.starts, self.terms, self.counts, self.idf)
 
     @classmethod
     def build(cls, examples: list[tuple[int, int, list[int], list[int]]], idf: np.ndarray) -> Index:
-        """examples: (id, label, terms, counts). Examples with like terms share blocks, so that bounds are tight."""
-        examples = sorted(examples, key=lambda e: (sorted(e[2], key=lambda t: -idf[t]), e[0]))
-        rows, cols, vals = [], [], []
-        for k, (_, _, t, n) in enumerate(examples):
-            w = (1 + np.log(np.array(n, float))) * idf[t]
-            rows += [k] * len(t)
-            cols += t
-            vals += list(w / np.linalg.norm(w)) if len(t) and w.any() else [0.0] * len(t)
-        rows, cols, vals = np.array(rows, np.int64), np.array(cols, np.int64), np.array(vals, float)
-        order = np.lexsort((rows, cols))
-        rows, cols, vals = rows[order], cols[order], vals[order]
-        key = cols * (len(examples) // BLOCK + 1) + rows // BLOCK
-        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-        size = len(idf) + 1
-        return cls(
-            np.searchsorted(cols, np.arange(size)), rows, vals, np.searchsorted(cols[starts], np.arange(size)), rows[starts] // BLOCK,
-            np.maximum.reduceat(vals, starts) if len(starts) else vals, np.array([e[1] for e in examples], float), np.array([e[0] for e in examples], np.int64), idf,
-        )
+        """examples: (id, label, terms, counts). Examples whose heaviest terms are alike share blocks, so that bounds are tight."""
+
+        def heaviest(e: tuple) -> tuple:
+            t = np.asarray(e[2], np.int32)
+            return tuple(t[np.lexsort((t, -idf[t]))[:8]].tolist())
+
+        examples = sorted(examples, key=lambda e: (heaviest(e), e[0]))
+        flat = lambda k: np.concatenate([np.zeros(0, np.int32), *(np.asarray(e[k], np.int32) for e in examples)])
+        starts = np.cumsum([0, *(len(e[2]) for e in examples)])
+        return cls(np.array([e[0] for e in examples], np.int64), np.array([e[1] for e in examples], float), starts, flat(2), flat(3), idf)
+
+    def _sums(self, t: np.ndarray, q: np.ndarray, offsets: np.ndarray, at: np.ndarray, weights: np.ndarray, size: int) -> np.ndarray:
+        """The weighted postings (or block maxima) of the terms, summed by example (or block)."""
+        if not len(t):
+            return np.zeros(size)
+        spans = [slice(offsets[x], offsets[x + 1]) for x in t.tolist()]
+        return np.bincount(np.concatenate([at[s] for s in spans]), np.concatenate([weights[s] for s in spans]) * np.repeat(q, offsets[t + 1] - offsets[t]), minlength=size)
 
     def nearest(self, t: np.ndarray, n: np.ndarray, k: int, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the k nearest with any cosine above 0, and all that tie with the last.
 
-        Blocks are opened by falling bound; the search ends at the first whose bound is below the k-th cosine.
+        Terms with the most weight for their postings are summed example by example, the others bounded by block;
+        examples are then compared exactly by falling bound until the next is below the k-th cosine.
         """
+        none = np.zeros(0, np.int64), np.zeros(0)
         q = (1 + np.log(n)) * self.idf[t]
         norm = np.linalg.norm(q)
-        if not norm:
-            return np.zeros(0, np.int64), np.zeros(0)
+        if not norm or not len(self.ids):
+            return none
         q = q / norm
-        bound = np.zeros(len(self.labels) // BLOCK + 1)
-        for x, w in zip(t, q, strict=True):
-            s = slice(self.block_offsets[x], self.block_offsets[x + 1])
-            bound[self.blocks[s]] += w * self.maxima[s]
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        found, scores, least = [], [], 0.0
-        for lo in range(0, len(order), 8):  # a few blocks at a time
-            some = order[lo : lo + 8]
+        df = self.offsets[t + 1] - self.offsets[t]
+        order = np.argsort(-q / np.maximum(df, 1), kind="stable")
+        heavy, light = np.split(order, [np.searchsorted(np.cumsum(df[order]), 256 * len(self.ids)) + 1])
+        part = self._sums(t[heavy], q[heavy], self.offsets, self.docs, self.weights, len(self.ids))
+        rest = self._sums(t[light], q[light], self.block_offsets, self.blocks, self.maxima, len(self.ids) // BLOCK + 1)
+        bound = part + np.repeat(rest, BLOCK)[: len(part)]
+        if without is not None:
+            part = np.where(self.ids == without, 0, part)
+            bound = np.where(self.ids == without, 0, bound)
+        least = max(float(np.partition(part, -k)[-k]), 0.0) if len(part) >= k else 0.0
+        able = np.flatnonzero((bound > 0) & (bound >= least - 1e-12))
+        able = able[np.argsort(-bound[able], kind="stable")]
+        dense = np.zeros(len(self.idf))
+        dense[t] = q
+        found, scores = [], []
+        for lo in range(0, len(able), 128):
+            some = able[lo : lo + 128]
             if bound[some[0]] < least - 1e-12:
                 break
-            exact = np.zeros((len(some), BLOCK))
-            for x, w in zip(t, q, strict=True):
-                docs = self.docs[self.offsets[x] : self.offsets[x + 1]]
-                for i, b in enumerate(some):
-                    a, z = np.searchsorted(docs, [b * BLOCK, (b + 1) * BLOCK])
-                    exact[i, docs[a:z] - b * BLOCK] += w * self.weights[self.offsets[x] + a : self.offsets[x] + z]
-            i, j = np.nonzero(exact > 0)
-            at = some[i] * BLOCK + j
-            if without is not None:
-                keep = self.ids[at] != without
-                i, j, at = i[keep], j[keep], at[keep]
-            found.append(at)
-            scores.append(exact[i, j])
+            sizes = self.starts[some + 1] - self.starts[some]
+            at = np.repeat(self.starts[some] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+            exact = np.bincount(np.repeat(np.arange(len(some)), sizes), dense[self.terms[at]] * self.own[at], minlength=len(some))
+            found.append(some[exact > 0])
+            scores.append(exact[exact > 0])
             all_scores = np.concatenate(scores)
             if len(all_scores) >= k:
-                least = float(np.partition(all_scores, -k)[-k])
+                least = max(least, float(np.partition(all_scores, -k)[-k]))
         if not found:
-            return np.zeros(0, np.int64), np.zeros(0)
+            return none
         at, s = np.concatenate(found), np.concatenate(scores)
         keep = s >= least - 1e-12
         at, s = at[keep], s[keep]
@@ -161,14 +173,15 @@ def vocabulary(counts: list[tuple[str, int, int]], n: int, positive: int, size:
 
 def score(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = 20_000,
-    size: int = 2048, chance: float = 0.1, k: int = 25, evidence: int = 3,
+    size: int = 2048, chance: float = 0.1, k: int = 25, evidence: int = 3, stress: float = 8.0,
 ) -> DataFrame:
     """One row per row of docs: id, held_out, score, predicted, evidence (ids of the nearest examples), similarity.
 
     Examples are labelled rows whose crc32(id as text) mod 5 is not 0, at most max_labelled of them (those whose id has
-    the smallest hash); on them, copies counted once, terms are chosen by their association with the label, and votes
-    are calibrated with each example's own label left out. Document frequencies are counted over all of docs; every whole text is scored.
-    Texts without a chosen term, null and empty ones among them, get the examples' share of that kind. With no usable
+    the smallest hash). They are indexed over all their terms; those chosen for their association with the label, copies
+    counted once, weigh `stress` times their IDF. Votes are calibrated with each example's own label left out. Document
+    frequencies are counted over all of docs; every whole text is scored, by its terms that any example has.
+    Texts without such a term, null and empty ones among them, get the examples' share of that kind. With no usable
     labels every score is 0.5 at most the base rate (no example: 0). Null labels and ids of labels are passed over; a
     null id of docs stays null and is not held out; repeated rows are scored alike; an empty table gives no rows;
     other columns are ignored.
@@ -181,11 +194,14 @@ def score(
     texts = docs.select(long_id(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ones, zeros = Counter(), Counter()
+        ones, zeros, names = Counter(), Counter(), set()
         for batch in batches:
-            for text, label in zip(batch.column("__text"), batch.column("__label").to_pylist(), strict=True):
-                (ones if label else zeros).update(set(terms(text.as_py())))
-        names = list(ones.keys() | zeros.keys())
+            for text, label, once in zip(batch.column("__text"), *(batch.column(x).to_pylist() for x in ("__label", "once")), strict=True):
+                found = set(terms(text.as_py()))
+                names |= found
+                if once:
+                    (ones if label else zeros).update(found)
+        names = list(names)
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([ones[x] for x in names], pa.int64()), pa.array([zeros[x] for x in names], pa.int64())], ["term", "a", "b"])
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,32 +213,39 @@ def score(
     single = written(single.select("__id", "__label").distinct(), "single")  # no more rows than examples
     seen = single.agg(F.count("*"), F.sum(F.when(F.col("__label") > 0, 1))).first()
     n, positive = seen[0], seen[1] or 0
-    counted = texts.join(F.broadcast(single), "__id").select("__text", "__label").mapInArrow(frequencies, "term string, a long, b long")
+    once = labelled.join(F.broadcast(single.withColumn("once", F.lit(True))), ["__id", "__label"], "left").select("__text", "__label", F.coalesce("once", F.lit(False)).alias("once"))
+    counted = once.mapInArrow(frequencies, "term string, a long, b long")
     counted = written(counted.groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "frequencies")
     # Only terms that lean towards one label come to the driver, a bounded number of them.
     expected = (F.col("a") + F.col("b")) * F.lit(positive / max(n, 1))
     lean = (F.col("a") - expected) ** 2 / (expected + F.lit(0.5))
     top = counted.where("a + b >= 3").orderBy(lean.desc(), "term").limit(4 * size).collect()
     chosen = vocabulary([(r["term"], r["a"], r["b"]) for r in top], n, positive, size, chance, counted.count())
-    place = {t: i for i, t in enumerate(chosen)}
+    names = sorted(counted.select("term").toArrow().column(0).to_pylist())  # the terms of max_labelled texts at most
+    place = spark.sparkContext.broadcast({t: i for i, t in enumerate(names)})
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            t, c = [], []
+            t, c, known = [], [], place.value
             for text in batch.column("__text"):
-                found = Counter(place[x] for x in terms(text.as_py()) if x in place)
+                found = Counter(known[x] for x in terms(text.as_py()) if x in known)
                 at = sorted(found)
                 t.append(at)
                 c.append([found[x] for x in at])
-            yield pa.RecordBatch.from_arrays([batch.column("__id"), pa.array(t, pa.list_(pa.int32())), pa.array(c, pa.list_(pa.int32()))], ["__id", "t", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("__hash"), pa.array(t, pa.list_(pa.int32())), pa.array(c, pa.list_(pa.int32()))], ["__id", "__hash", "t", "n"])
 
-    found = written(texts.mapInArrow(extract, "__id long, t array<int>, n array<int>"), "terms")
-    df = np.zeros(len(chosen))
-    for r in found.select(F.explode("t").alias("t")).groupBy("t").count().collect():  # at most size rows
-        df[r["t"]] = r["count"]
+    hashed = texts.withColumn("__hash", F.xxhash64("__text"))
+    found = written(hashed.mapInArrow(extract, "__id long, __hash long, t array<int>, n array<int>"), "terms")
+    df = np.zeros(len(names))
+    seen_in = found.select(F.explode("t").alias("t")).groupBy("t").count().toArrow()  # a row for each of the names at most
+    df[seen_in.column("t").to_numpy()] = seen_in.column("count").to_numpy()
     idf = np.log(1 + found.count() / np.maximum(df, 1))
-    rows = found.join(F.broadcast(examples), "__id")
-    index = spark.sparkContext.broadcast(Index.build([(r["__id"], int(r["__label"] > 0), list(r["t"]), list(r["n"])) for r in rows.collect()], idf))  # max_labelled rows of chosen terms
+    idf[[place.value[t] for t in chosen]] *= stress
+    rows = written(found.join(F.broadcast(examples), "__id").dropDuplicates(["__id", "__hash"]), "indexed")
+    table = rows.select("__id", "__label", "t", "n").toArrow()
+    lists = [[x.values.to_numpy() for x in table.column(c)] for c in ("t", "n")]  # max_labelled texts' terms
+    index = spark.sparkContext.broadcast(Index.build(list(zip(table.column("__id").to_pylist(), [int(x > 0) for x in table.column("__label").to_pylist()], *lists, strict=True)), idf))
+    del table, lists
 
     def trial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,11 +256,11 @@ def score(
     lone, knots, values = calibration(np.array([r["raw"] for r in tried], float), np.array([r["__label"] > 0 for r in tried], float)) if tried else (0.0, np.array([0.0, 1.0]), np.array([0.0, 0.0]))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple, tuple] = {}
+        known: dict[bytes, tuple] = {}
         for batch in batches:
             out = []
             for t, c in zip(batch.column("t").to_pylist(), batch.column("n").to_pylist(), strict=True):
-                key = (tuple(t), tuple(c))
+                key = hashlib.blake2b(np.array([t, c], np.int32).tobytes(), digest_size=16).digest()
                 if key not in known:
                     if len(known) > 50_000:
                         known.clear()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -99,6 +100,18 @@ def test_toxicity(spark, odd):
     assert toxicity.score(docs.limit(0), frame).count() == 0 and {r["predicted"] for r in toxicity.score(odd, frame.limit(0)).collect()} == {0}
 
 
+def test_toxicity_finds_copies_by_unpicked_words(spark):
+    """A near copy of a toxic example that shares only words too rare to be picked finds that example."""
+    rng = random.Random(7)
+    rows = [(k, " ".join(f"w{rng.randrange(60)}" for _ in range(30)) + (" scoundrel nitwit" if k % 5 == 0 else "")) for k in range(300)]
+    lonely = next(k for k in range(1000, 1100) if zlib.crc32(str(k).encode()) % 5)
+    rows += [(lonely, " ".join(f"rare{j}" for j in range(20))), (2000, " ".join(f"rare{j}" for j in range(18)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 5 == 0 or k == lonely)) for k, _ in rows[:-1]], "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.score(docs.unionByName(docs.where(f"doc_id = {lonely}")), labels).collect()}
+    assert got[2000]["evidence"] == [lonely] and got[2000]["similarity"][0] > 0.9
+
+
 def test_index_is_exact():
     """Block-max search against all cosines."""
     rng = np.random.default_rng(8)
