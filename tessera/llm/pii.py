@@ -71,47 +71,46 @@ def detect(docs: DataFrame, id_col: str, text_col: str, radius: int) -> DataFram
     return rows.select("__id", F.xxhash64("__text").alias("__text_hash"), base_spans(F.col("__text"), radius).alias("__spans"))
 
 
-def context_terms(found: DataFrame, radius: int) -> DataFrame:
-    """(__id, __text_hash, entity, term, s, e, context): each word near a protected entity, with its place in the text.
+def words_of(docs: DataFrame, text_col: str) -> DataFrame:
+    """(__text_hash, words) of every different text: its words, lower-cased, each once."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    words = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lower))
+    return docs.select(F.xxhash64(text).alias("__text_hash"), words.alias("words")).dropDuplicates(["__text_hash"])
 
-    Words cut by the edge of the window and words inside a pattern span are left out.
-    """
-    one = found.where(F.size("__spans") > 0).select("__id", "__text_hash", "__spans", F.explode("__spans").alias("x"))
+
+def entities_of(found: DataFrame) -> DataFrame:
+    """(entity, __text_hash, context): the entities that different texts hold in different surroundings, once a text."""
+    one = found.where(F.size("__spans") > 0).select("__text_hash", F.explode("__spans").alias("x"))
     value = F.when(F.col("x.k") >= 2, F.regexp_replace("x.m", "[^0-9]", "")).otherwise(F.lower("x.m"))
-    one = one.select("__id", "__text_hash", "__spans", "x", F.concat_ws(":", F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("x.k") + 1), value).alias("entity"), F.xxhash64("x.l", "x.r").alias("context"))
-    left, right = F.col("x.l"), F.col("x.r")
-    whole_l = F.filter(matches(left, WORD), lambda w: (w["s"] > 0) | (F.col("x.s") <= radius))
-    whole_r = F.filter(matches(right, WORD), lambda w: (w["e"] < F.length(right)) | (F.length(right) < radius))
-    shift = lambda by: lambda w: F.struct((w["s"] + by).alias("s"), (w["e"] + by).alias("e"), F.lower(w["m"]).alias("m"))
-    words = F.concat(F.transform(whole_l, shift(F.col("x.s") - F.length(left))), F.transform(whole_r, shift(F.col("x.e"))))
-    out = one.select("__id", "__text_hash", "entity", "context", "__spans", F.explode(words).alias("w"))
-    return out.where(~F.exists("__spans", lambda b: (b["s"] < F.col("w.e")) & (F.col("w.s") < b["e"]))).select("__id", "__text_hash", "entity", "context", F.col("w.m").alias("term"), F.col("w.s").alias("s"), F.col("w.e").alias("e"))
-
-
-def disclosing(docs: DataFrame, text_col: str, near: DataFrame, threshold: float, small: int) -> DataFrame:
-    """(entity, term, disclosure) of the pairs whose disclosure reaches threshold.
-
-    disclosure = PMI(term; entity) / IC(entity), with PMI from how often the term stands near the entity against how
-    often it occurs in all texts, and IC the entity's own information. 1 means that the term occurs nowhere else.
-    Pairs need two different surroundings: one passage and its copies are no co-occurrence.
+    name = F.concat_ws(":", F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("x.k") + 1), value)
+    one = one.select("__text_hash", name.alias("entity"), F.xxhash64("x.l", "x.r").alias("context"))
+    one = written(one.groupBy("entity", "__text_hash").agg(F.min("context").alias("context")), "entities")
+    often = one.groupBy("entity").agg(F.min("context").alias("c1"), F.max("context").alias("c2"), F.count("*").alias("n_e")).where("c1 <> c2").select("entity", "n_e")
+    return one.join(written(often, "often"), "entity")
+
+
+def disclosing(found: DataFrame, words: DataFrame, threshold: float, small: int) -> DataFrame:
+    """(term, disclosure) of the terms that disclose an entity to at least threshold, with the largest over its entities.
+
+    disclosure = PMI(term; entity) / IC(entity) over whole texts, equal texts counted once: how many hold both against
+    how many hold the term, and the entity's own information. 1 means that the term occurs nowhere else. Pairs need
+    two different surroundings of the entity: one passage and its copies are no co-occurrence.
     """
-    of_entity = near.groupBy("entity").agg(F.count("*").alias("n_e"))
-    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("n_te"), F.min("context").alias("c1"), F.max("context").alias("c2")).where("c1 <> c2").drop("c1", "c2")
+    entities = written(entities_of(found), "repeated")
+    pairs = entities.join(words, "__text_hash").select("entity", "n_e", "context", F.explode("words").alias("term"))
+    pairs = pairs.groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_te"), F.min("context").alias("c1"), F.max("context").alias("c2")).where("c1 <> c2").drop("c1", "c2")
     pairs = written(pairs, "pairs")
     terms = written(pairs.select("term").distinct(), "terms")
-    words = docs.select(F.explode(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(WORD), F.lit(0))).alias("term"))
+    corpus = words.select(F.explode("words").alias("term"))
     # Words of interest are few unless the corpus is full of repeated entities; beyond `small` they are not broadcast.
     if terms.count() <= small:
-        corpus = words.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+        corpus = corpus.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
     else:
-        corpus = words.groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term", "left_semi")
-    corpus = written(corpus, "corpus_terms")
-    total = docs.agg(F.sum(F.length(text_col))).first()[0] or 0
-    total = F.lit(float(max(total, 1)) / 5.0)  # words of the corpus, at five characters each
-    joined = pairs.join(corpus, "term").join(written(of_entity, "entities"), "entity")
-    p = F.least(F.col("n_te") / F.greatest(F.col("n_t"), F.col("n_te")), F.lit(1.0))
-    information = F.log2(F.greatest(total / F.col("n_e"), F.lit(2.0)))
-    return joined.select("entity", "term", ((F.log2(p) + information) / information).alias("disclosure")).where(F.col("disclosure") >= threshold)
+        corpus = corpus.groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term", "left_semi")
+    joined = pairs.join(written(corpus, "corpus_terms"), "term")
+    information = F.log2(F.greatest(F.lit(float(max(words.count(), 1))) / F.col("n_e"), F.lit(2.0)))
+    value = (F.log2(F.col("n_te") / F.col("n_t")) + information) / information
+    return joined.select("term", value.alias("disclosure")).where(F.col("disclosure") >= threshold).groupBy("term").agg(F.max("disclosure").alias("disclosure"))
 
 
 def sanitise(
@@ -119,24 +118,29 @@ def sanitise(
 ) -> DataFrame:
     """One row per row of docs: id, spans (array of start, kind, end, replacement by start and kind), text (sanitised), and its columns.
 
-    Pattern spans become a placeholder of their kind. Near a protected entity, terms that disclose it to at least
-    threshold become "[term]" and those to at least remove go; texts without a protected entity stay as they are.
+    Pattern spans become a placeholder of their kind. Terms that disclose an entity to at least threshold become
+    "[term]" and those to at least remove go, wherever they stand in any text; those within a pattern span go with it.
+    radius is what counts as an entity's surroundings.
     Null texts count as empty and stay null in the text; null ids stay null; repeated rows are treated alike; an
     empty table gives no rows; other columns of docs are kept as they are, whatever their names. Offsets are code
     points, ends exclusive.
     """
     found = written(detect(docs, id_col, text_col, radius), "spans")
-    near = written(context_terms(found, radius), "terms")
-    pairs = written(disclosing(docs, text_col, near, threshold, small), "disclosing")
-    hits = near.join(pairs, ["entity", "term"]).groupBy("__id", "__text_hash", "s", "e").agg(F.max("disclosure").alias("d"))
-    replacement = F.when(F.col("d") >= remove, F.lit("")).otherwise(F.lit("[term]"))
-    extra = hits.groupBy("__id", "__text_hash").agg(F.collect_list(F.struct("s", F.lit(len(KINDS)).alias("k"), "e", replacement.alias("with"))).alias("__extra"))
-    base = F.transform("__spans", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), F.element_at(F.array(*[F.lit(f"[{k}]") for k in KINDS]), x["k"] + 1).alias("with")))
+    words = written(words_of(docs, text_col), "words")
+    pairs = written(disclosing(found, words, threshold, small), "disclosing")
+    replacement = F.when(F.col("disclosure") >= remove, F.lit("")).otherwise(F.lit("[term]"))
+    hits = words.select("__text_hash", F.explode("words").alias("term")).join(pairs.select("term", replacement.alias("with")), "term")
+    hits = written(hits.groupBy("__text_hash").agg(F.map_from_entries(F.collect_list(F.struct("term", "with"))).alias("__hits")), "hits")
     # A row and its copies have the same spans: one of them carries what is joined to all.
-    by_text = found.groupBy("__id", "__text_hash").agg(F.any_value("__spans").alias("__spans")).join(written(extra, "extra"), ["__id", "__text_hash"], "left")
-    marks = by_text.select("__id", "__text_hash", F.array_sort(F.concat(base, F.coalesce("__extra", F.array().cast("array<struct<s:int,k:int,e:int,with:string>>")))).alias("__marks"))
-    keyed = docs.withColumns({"__id": long_id(id_col), "__text_hash": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
-    return keyed.join(written(marks, "marks"), ["__id", "__text_hash"])
+    by_text = found.groupBy("__id", "__text_hash").agg(F.any_value("__spans").alias("__spans")).join(hits, "__text_hash", "left")
+    marks = by_text.select("__id", "__text_hash", F.transform("__spans", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"))).alias("__spans"), "__hits")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keyed = docs.withColumns({"__id": long_id(id_col), "__text_hash": F.xxhash64(text)}).join(written(marks, "marks"), ["__id", "__text_hash"])
+    base = F.transform("__spans", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), F.element_at(F.array(*[F.lit(f"[{k}]") for k in KINDS]), x["k"] + 1).alias("with")))
+    outside = lambda w: F.map_contains_key("__hits", F.lower(w["m"])) & ~F.exists("__spans", lambda b: (b["s"] < w["e"]) & (w["s"] < b["e"]))
+    extra = F.transform(F.filter(matches(text, WORD), outside), lambda w: F.struct(w["s"].alias("s"), F.lit(len(KINDS)).alias("k"), w["e"].alias("e"), F.element_at("__hits", F.lower(w["m"])).alias("with")))
+    extra = F.when(F.col("__hits").isNotNull(), extra).otherwise(F.array().cast("array<struct<s:int,k:int,e:int,with:string>>"))
+    return keyed.withColumn("__marks", F.array_sort(F.concat(base, extra))).drop("__spans", "__hits")
 
 
 def replaced(text: Column, marks: Column) -> Column:

@@ -110,6 +110,16 @@ def test_pii_disclosure(spark):
     assert "zanzibar" not in text[0] and "[email]" in text[0] and text[100] == rows[6][1]
 
 
+def test_pii_terms_of_whole_texts(spark):
+    """A word that only accompanies an entity from afar is found, and goes from every text, far from entities and without them too."""
+    far = " ".join(["the plan of the day was fine"] * 10)
+    rows = [(k, f"Zanzibar {far} note {'abcdef'[k] * 3} ann@corp.example met {'uvwxyz'[k] * 3}") for k in range(6)]
+    rows += [(100 + k, f"the plan of day {k} was fine and the team met about a note") for k in range(300)] + [(900, "we saw zanzibar and its plan")]
+    got = {r["doc_id"]: r["text"] for r in pii.sanitised(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not [i for i, t in got.items() if "zanzibar" in t.lower()] and got[900].endswith(" and its plan")
+    assert all(far in got[k] and "[email]" in got[k] for k in range(6)) and got[100] == rows[6][1]
+
+
 def test_substring_dedup(spark, odd, empty):
     rng = np.random.default_rng(7)
     passage = "".join(rng.choice(list("abcdé "), 260))
