@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import html
 import io
 import uuid
 from collections.abc import Iterator
@@ -11,6 +12,7 @@ import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 CRLF = "\r\n"
 DATE = "2024-01-01T00:00:00Z"
@@ -19,21 +21,34 @@ TO_TEXT = (
     (r"(?is)<(?:script)\b[^>]*>.*?</script\s*>", " "), (r"(?is)<(?:style)\b[^>]*>.*?</style\s*>", " "), (r"(?s)<!--.*?-->", " "),
     (r"(?i)</?(?:p|div|br|li|ul|ol|tr|table|h[1-6]|article|section|nav|header|footer|title|head|body|html)\b[^>]*>", "\n"), (r"<[^>]*>", ""),
 )
-#: Entities in the order they are resolved, the ampersand last.
+#: The entities that the SQL resolves, the ampersand last; plain_text resolves all.
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 SQUEEZE = ((r"[ \t\r\f]+", " "), (r" ?\n[ \n]*", "\n"), (r"^[ \n]+|[ \n]+$", ""))
 TITLE, HREF, LANG = r"(?is)<title\b[^>]*>(.*?)</title\s*>", r'(?i)<a\s[^>]*?href="([^"]*)"', r'(?i)<html\b[^>]*?\slang="([^"]*)"'
+#: The same values in double, single or no quotes; what the records are made with.
+_VALUE = r"""\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*)"""
+ANY_HREF, ANY_LANG = r"(?i)<a\s[^>]*?(?<![\w-])href" + _VALUE, r"(?i)<html\b[^>]*?\slang" + _VALUE
 
 
-def plain_text(html: Column) -> Column:
+@F.udf(returnType=StringType(), useArrow=True)
+def _resolved(text: str | None) -> str | None:
+    """All named and numeric references, each once; a non-breaking space by name becomes a space."""
+    return text and html.unescape(text.replace("&nbsp;", " "))
+
+
+def _bare(value: Column) -> Column:
+    """An attribute's value without its quotes."""
+    return F.when(value.rlike("""^["']"""), F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value)
+
+
+def plain_text(body: Column) -> Column:
     """Visible text of a page: one line per block, single spaces."""
     for pattern, put in TO_TEXT:
-        html = F.regexp_replace(html, pattern, put)
-    for name, put in ENTITIES:
-        html = F.replace(html, F.lit(name), F.lit(put))
+        body = F.regexp_replace(body, pattern, put)
+    body = _resolved(body)
     for pattern, put in SQUEEZE:
-        html = F.regexp_replace(html, pattern, put)
-    return html
+        body = F.regexp_replace(body, pattern, put)
+    return body
 
 
 def urn(of: Column) -> Column:
@@ -66,9 +81,9 @@ def derivatives(records: DataFrame) -> DataFrame:
     squeezed = F.regexp_extract("payload", TITLE, 1)
     for pattern, put in ((r"[ \t\r\n\f]+", " "), (r"^ | $", "")):
         squeezed = F.regexp_replace(squeezed, pattern, put)
-    links = F.transform(F.regexp_extract_all("payload", F.lit(HREF), F.lit(1)), lambda x: F.concat(F.lit("outlink: "), x, F.lit(CRLF)))
+    links = F.transform(F.regexp_extract_all("payload", F.lit(ANY_HREF), F.lit(1)), lambda x: F.concat(F.lit("outlink: "), _bare(x), F.lit(CRLF)))
     fields = F.concat(
-        F.lit("title: "), squeezed, F.lit(f"{CRLF}language: "), F.regexp_extract("payload", LANG, 1), F.lit(CRLF),
+        F.lit("title: "), squeezed, F.lit(f"{CRLF}language: "), _bare(F.regexp_extract("payload", ANY_LANG, 1)), F.lit(CRLF),
         F.regexp_replace("source_headers", r"(?m)^(?=[^\r\n])", "http: "), F.array_join(links, ""),
     )
     made = F.array(

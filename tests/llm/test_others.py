@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import os
 import random
 import zlib
@@ -150,6 +151,14 @@ def test_warc(spark, tmp_path):
     assert warc.report(pages.limit(0)).count() == 0
 
 
+def test_warc_references_and_quotings(spark):
+    text = "&copy; &middot; &eacute;t&eacute; &#233;&#xE9; &amp;lt; &hellip; &notit; AT&T &#0; &lt;b&gt;"
+    page = f"<html lang = 'fr'><a href='http://x/'>{text}</a><a class=c href = http://y/z>.</a><a href=\"http://w/\">.</a><a data-href='no'>.</a></html>"
+    rows = {r["record_type"]: r["block"] for r in warc.derivatives(warc.responses(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string"))).collect()}
+    assert rows["conversion"] == html.unescape(text) + "..."
+    assert "language: fr\r\n" in rows["metadata"] and [x for x in rows["metadata"].split("\r\n") if x.startswith("outlink")] == ["outlink: http://x/", "outlink: http://y/z", "outlink: http://w/"]
+
+
 def test_mixing(spark, odd, empty):
     rng = random.Random(9)
     kinds = {"high": lambda: " ".join(f"calm{rng.randrange(50)} reads well." for _ in range(30)), "low": lambda: " ".join(f"BUY!! {rng.randrange(9)}$$$" for _ in range(30)), "toxic": lambda: " ".join(f"brute{rng.randrange(3)} yells" for _ in range(30))}
