@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,11 +30,15 @@ def terms(text: str) -> list[str]:
 class Index:
     """Labelled examples in blocks: per term its postings, and its largest weight in each block; and each example's terms.
 
-    Only the examples' terms and counts travel; the postings are made again from them where the index arrives.
+    Only the examples' terms and counts travel; the postings are made from them where the index is first used.
     """
 
     def __init__(self, ids: np.ndarray, labels: np.ndarray, starts: np.ndarray, terms: np.ndarray, counts: np.ndarray, idf: np.ndarray):
         self.ids, self.labels, self.starts, self.terms, self.counts, self.idf = ids, labels, starts, terms, counts, idf
+        self.ready = False
+
+    def _prepare(self) -> None:
+        ids, starts, terms, counts, idf = self.ids, self.starts, self.terms, self.counts, self.idf
         rows = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(starts))
         w = (1 + np.log(counts.astype(float))) * idf[terms]
         norms = np.sqrt(np.bincount(rows, w * w, minlength=len(ids)))
@@ -47,6 +52,7 @@ class Index:
         self.block_offsets = np.searchsorted(cols[first], np.arange(len(idf) + 1))
         self.blocks = self.docs[first] // BLOCK
         self.maxima = np.maximum.reduceat(self.weights, first) if len(first) else self.weights
+        self.ready = True
 
     def __reduce__(self):
         return Index, (self.ids, self.labels, self.starts, self.terms, self.counts, self.idf)
@@ -77,6 +83,8 @@ class Index:
         Terms with the most weight for their postings are summed example by example, the others bounded by block;
         examples are then compared exactly by falling bound until the next is below the k-th cosine.
         """
+        if not self.ready:
+            self._prepare()
         none = np.zeros(0, np.int64), np.zeros(0)
         q = (1 + np.log(n)) * self.idf[t]
         norm = np.linalg.norm(q)
@@ -221,12 +229,15 @@ def score(
     lean = (F.col("a") - expected) ** 2 / (expected + F.lit(0.5))
     top = counted.where("a + b >= 3").orderBy(lean.desc(), "term").limit(4 * size).collect()
     chosen = vocabulary([(r["term"], r["a"], r["b"]) for r in top], n, positive, size, chance, counted.count())
-    names = sorted(counted.select("term").toArrow().column(0).to_pylist())  # the terms of max_labelled texts at most
-    place = spark.sparkContext.broadcast({t: i for i, t in enumerate(names)})
+    names = counted.select("term").toArrow().column(0).combine_chunks()  # the terms of max_labelled texts at most
+    picked = [i for i in pc.index_in(pa.array(chosen, pa.string()), names).to_pylist() if i is not None]
+    size_of, shared = len(names), spark.sparkContext.broadcast(names)
+    del names
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = {t: i for i, t in enumerate(shared.value.to_pylist())}
         for batch in batches:
-            t, c, known = [], [], place.value
+            t, c = [], []
             for text in batch.column("__text"):
                 found = Counter(known[x] for x in terms(text.as_py()) if x in known)
                 at = sorted(found)
@@ -236,11 +247,12 @@ def score(
 
     hashed = texts.withColumn("__hash", F.xxhash64("__text"))
     found = written(hashed.mapInArrow(extract, "__id long, __hash long, t array<int>, n array<int>"), "terms")
-    df = np.zeros(len(names))
+    df = np.zeros(size_of)
     seen_in = found.select(F.explode("t").alias("t")).groupBy("t").count().toArrow()  # a row for each of the names at most
     df[seen_in.column("t").to_numpy()] = seen_in.column("count").to_numpy()
     idf = np.log(1 + found.count() / np.maximum(df, 1))
-    idf[[place.value[t] for t in chosen]] *= stress
+    idf[picked] *= stress
+    del seen_in, df
     rows = written(found.join(F.broadcast(examples), "__id").dropDuplicates(["__id", "__hash"]), "indexed")
     table = rows.select("__id", "__label", "t", "n").toArrow()
     lists = [[x.values.to_numpy() for x in table.column(c)] for c in ("t", "n")]  # max_labelled texts' terms
