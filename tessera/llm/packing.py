@@ -181,7 +181,7 @@ def completions(left: np.ndarray, largest: int, capacity: int, spare: int, width
 
 
 def complete(counts: np.ndarray, capacity: int, nodes: int = 2000, width: int = 6) -> list[tuple[tuple[int, ...], int]]:
-    """Bin completion branch-and-bound on the histogram; the best fillings found, optimal if within the bound.
+    """Bin completion branch-and-bound on the histogram; the best fillings found, surely optimal only at the lower bound.
 
     The best-fit packing is the first incumbent. Each node takes the largest length left, tries its undominated
     fillings, applies each as often as the counts allow, and is cut when its waste rules out a better packing. nodes
