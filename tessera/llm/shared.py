@@ -8,7 +8,9 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,9 +19,12 @@ NULL_ID = -(2**63)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; set here only where it is unset."""
+    """The folder all executors share, from spark.checkpoint.dir. Only a local session that has none gets a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tessera-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -29,11 +34,11 @@ def shared_dir(spark: SparkSession) -> str:
 def fresh_path(spark: SparkSession, tag: str) -> str:
     """A path in the shared folder that nobody else uses; removed when the driver ends."""
     path = f"{shared_dir(spark)}/tessera-{tag}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    atexit.register(remove, spark, path)
     return path
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
     """Best effort: the context may have ended already."""
     try:
         jvm = spark.sparkContext._jvm
@@ -47,7 +52,42 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """Cuts the lineage with a Parquet table in the shared folder, which outlives any executor."""
     path = fresh_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables. Only for tables whose every reader has itself been written: no task can ask for them again."""
+    for t in tables:
+        remove(t.sparkSession, t._written_to)
+
+
+class Flags:
+    """Flags of hashed keys, decided where rows are read: no false negatives, so unset rows need no join and no shuffle.
+
+    There are 8 to 16 flags a key, 2**27 (16 MB) at the most, so what is broadcast is bounded whatever the input; beyond
+    that, more rows are flagged in vain, and the join behind the flags still decides.
+    """
+
+    def __init__(self, rows: DataFrame, *keys: str):
+        self.keys, self.bits = keys, min(27, max(16, 4 + rows.count().bit_length()))
+        at = rows.select(F.pmod(F.xxhash64(*keys), F.lit(1 << self.bits)).alias("h"))
+        words = at.groupBy(F.shiftright("h", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(h % 32 AS INT))")).alias("v")).toArrow()
+        flags = np.zeros(1 << (self.bits - 5), np.uint32)
+        flags[words.column("w").to_numpy()] = words.column("v").to_numpy().astype(np.uint32)
+        self.shared: Broadcast = rows.sparkSession.sparkContext.broadcast(flags)
+
+    def on(self) -> Column:
+        """Whether a row's keys, columns of the same names, may be among the flagged ones. Only their hash goes to Python."""
+        shared = self.shared
+
+        @F.pandas_udf("boolean")
+        def flagged(h: pd.Series) -> pd.Series:
+            at = h.to_numpy()
+            return pd.Series((shared.value[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool))
+
+        return flagged(F.pmod(F.xxhash64(*self.keys), F.lit(1 << self.bits)))
 
 
 def long_id(name: str) -> Column:
