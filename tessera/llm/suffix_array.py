@@ -1,11 +1,11 @@
-"""Suffix arrays by induced sorting, with whole buckets moved at a time, and capped common prefixes in text order."""
+"""Suffix arrays by induced sorting, with whole buckets moved at a time, and common prefixes carried along in text order."""
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Above so many symbols a reduced string is ranked by doubling: inducing walks over every symbol's bucket.
-WIDEST = 4096
+#: A reduced string of more symbols is written with two digits a symbol, so that inducing walks over few buckets at every level.
+WIDEST = 2048
 
 
 def s_types(s: np.ndarray) -> np.ndarray:
@@ -23,7 +23,7 @@ def _deal(chars: np.ndarray, values: np.ndarray, into: list[list[np.ndarray]]) -
     """Appends values to the buckets of their characters, in order."""
     if len(values) == 0:
         return
-    order = chars.argsort(kind="stable")
+    order = chars.argsort(kind="stable")  # by radix: symbols have 16 bits
     chars, values = chars[order], values[order]
     cuts = (chars[1:] != chars[:-1]).nonzero()[0] + 1
     lo = 0
@@ -69,26 +69,16 @@ def _induce(s: np.ndarray, is_s: np.ndarray, lms: np.ndarray, k: int) -> np.ndar
     return np.concatenate([p for c in range(k) for p in (larger[c][0], smaller[c][0][::-1])])
 
 
-def _by_doubling(s: np.ndarray) -> np.ndarray:
-    """Suffix array by ranks of prefixes of doubling length."""
-    rank, step, n = np.unique(s, return_inverse=True)[1].astype(np.int64) + 1, 1, len(s)
-    while True:
-        key = rank * (n + 2)
-        key[:-step] += rank[step:]
-        order = np.argsort(key, kind="stable")
-        new = np.r_[True, key[order][1:] != key[order][:-1]]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new)
-        if new.all() or step >= n:
-            return order
-        step *= 2
-
-
 def suffix_array(s: np.ndarray, k: int) -> np.ndarray:
     """Starts of the suffixes of s (symbols 0 to k - 1) in order; a suffix that is a prefix of another comes first."""
     n = len(s)
     if n < 2:
         return np.arange(n)
+    if k > WIDEST:  # two digits a symbol: suffixes that begin with a symbol keep their order
+        base = int(np.ceil(np.sqrt(k)))
+        order = suffix_array(np.stack([s // base, s % base], 1).ravel(), base)
+        return order[order % 2 == 0] // 2
+    s = s.astype(np.uint16)
     is_s = s_types(s)
     lms = np.flatnonzero(is_s[1:n] & ~is_s[: n - 1]) + 1
     if not len(lms):
@@ -118,22 +108,42 @@ def suffix_array(s: np.ndarray, k: int) -> np.ndarray:
     reduced = np.empty(n + 1, np.int64)
     reduced[order] = names
     reduced = reduced[lms]
-    symbols = int(names[-1]) + 1
-    inner = suffix_array(reduced, symbols) if symbols <= WIDEST else _by_doubling(reduced)
+    inner = suffix_array(reduced, int(names[-1]) + 1)
     return _induce(s, is_s, lms[inner], k)
 
 
-def permuted_prefixes(s: np.ndarray, order: np.ndarray, cap: int) -> np.ndarray:
-    """For each suffix in text order, its common prefix with the suffix before it in the array, at most cap (a multiple of 4)."""
+def permuted_prefixes(s: np.ndarray, order: np.ndarray, cap: int | None = None, stop: int | None = None) -> np.ndarray:
+    """For each suffix in text order, its common prefix with the suffix before it in the array, at most cap.
+
+    Symbols are compared only where a suffix and its neighbour have unlike symbols before them; from there the prefix is
+    carried on, one shorter with each step. If given, the symbol `stop` equals nothing, and prefixes end before it.
+    """
     n = len(s)
-    padded = np.r_[s.astype(np.uint64), np.full(cap + 4, 0xFFFF, np.uint64)]  # past the end nothing is equal
-    word = padded[:-3] | padded[1:-2] << np.uint64(16) | padded[2:-1] << np.uint64(32) | padded[3:] << np.uint64(48)
+    if not n:
+        return np.zeros(0, np.int64)
     before = np.full(n, -1)
     before[order[1:]] = order[:-1]
+    at = np.arange(n)
+    j = before[1:]
+    go_on = np.r_[False, (j > 0) & (before[:-1] >= 0) & (s[j - 1] == s[:-1])]
+    if stop is not None:
+        go_on[1:] &= s[:-1] != stop
+    # Ends, and stops, are unlike whatever they meet: the two sides have different words there.
+    ours, theirs = (np.r_[s.astype(np.uint64), np.full(4, v, np.uint64)] for v in (0xFFFE, 0xFFFF))
+    if stop is not None:
+        ours[:n][s == stop], theirs[:n][s == stop] = 0xFFFC, 0xFFFD
+    ours, theirs = (w[:-3] | w[1:-2] << np.uint64(16) | w[2:-1] << np.uint64(32) | w[3:] << np.uint64(48) for w in (ours, theirs))
     common = np.zeros(n, np.int64)
-    at = np.flatnonzero(before >= 0)
-    for t in range(0, cap, 4):
-        i, j = at + t, before[at] + t
-        at = at[(i < n) & (j < n) & (word[np.minimum(i, n)] == word[np.minimum(j, n)])]
-        common[at] += 4
-    return common  # exact to a word of four symbols, and exact at cap
+    live = np.flatnonzero(~go_on & (before >= 0))
+    while len(live):
+        i, j = live + common[live], before[live] + common[live]
+        apart = ours[i] ^ theirs[j]
+        equal = apart == 0
+        last = live[~equal]
+        low = apart[~equal]
+        common[last] += (low & np.uint64(0xFFFF) == 0).astype(np.int64) + (low & np.uint64(0xFFFFFFFF) == 0) + (low & np.uint64(0xFFFFFFFFFFFF) == 0)
+        live = live[equal]
+        common[live] += 4
+    since = np.maximum.accumulate(np.where(go_on, 0, at))
+    common = np.maximum(common[since] - (at - since), 0)
+    return common if cap is None else np.minimum(common, cap)

@@ -254,3 +254,39 @@ def test_word_ids():
     t, own = Tokenizer.from_file(TOKENIZER), packing.WordIds(TOKENIZER)
     for text in ["", " ", "a  b\n\n c\t d ", "don't  stop!!\r\n", "é ü　x", "<|endoftext|> x", "123 4.5\n \n", "a  b", " lead", "trail \n"]:
         assert np.frombuffer(own(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_substring_lengths(spark):
+    """Brute force at lengths around and below the k-gram's, and over a shard whose recursion is deep."""
+    rng = np.random.default_rng(17)
+    passage = "".join(rng.choice(list("abcdefgh "), 300))
+    rows = [(k, "".join(rng.choice(list("xyz "), 60)) + passage[3 * k : 3 * k + 102 + k] + "".join(rng.choice(list("uvw "), 50))) for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for length in (7, 24, 101, 102):
+        seen, want = set(), {}
+        for i, t in rows:
+            b = t.encode()
+            flag = bytearray(len(b))
+            for s in range(len(b) - length + 1):
+                if b[s : s + length] in seen:
+                    flag[s : s + length] = b"\1" * length
+                seen.add(b[s : s + length])
+            want[i] = (sum(flag), hashlib.sha256(bytes(c for c, x in zip(b, flag, strict=True) if not x)).hexdigest())
+        got = {r["doc_id"]: (r["n_removed"], r["kept_sha256"]) for r in substring_dedup.deduplicate(docs, length=length).collect()}
+        assert got == want, length
+        assert length > 101 or sum(n for n, _ in want.values()) > 0
+
+
+def test_suffix_array_recurses_over_wide_alphabets():
+    rng = np.random.default_rng(3)
+    word = rng.integers(0, 4, 3000)
+    s = np.concatenate([word, rng.integers(0, 4, 3000), word[500:], rng.integers(0, 4, 100), word[:2000]])
+    order = suffix_array(s, 4)
+    t = s.astype(np.uint8).tobytes()
+    assert list(order) == sorted(range(len(s)), key=lambda i: t[i:])
+    wide = rng.integers(0, 100_000, 2000)
+    assert list(suffix_array(wide, 100_000)) == sorted(range(2000), key=lambda i: wide[i:].tolist())
+    common = permuted_prefixes(s, order)
+    for a, b in zip(order[:-1], order[1:], strict=True):
+        n = common[b]
+        assert t[a : a + n] == t[b : b + n] and t[a + n : a + n + 1] != t[b + n : b + n + 1]
