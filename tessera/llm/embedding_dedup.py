@@ -6,15 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tessera.llm.components import connected_components
-from tessera.llm.shared import by_group, group_starts, local_components, written
-from tessera.llm.tiles import tiled
+from tessera.llm.shared import by_group, discard, group_starts, local_components, written
 
-#: Wider vectors are compared in their given order: the covariance itself would no longer be small.
-WIDEST_BASIS = 512
+RANK = 64  # leading axes that order the work; any number gives the same links
+BINS = 4096  # angles to the ordering axis are told apart in steps of pi / BINS
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
@@ -22,29 +22,45 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def principal_axes(classes: DataFrame) -> dict[int, np.ndarray]:
-    """For every vector length, an orthogonal basis by descending variance of all unit vectors of that length.
+def _units(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
+    x = _matrix(column, dim)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
-    Tasks sum second moments; the driver gets one number per pair of dimensions. It only orders the work: any
-    orthogonal basis gives the same links.
-    """
 
-    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            dims = batch.column("dim").to_numpy()
-            for dim in np.unique(dims):
-                x = _matrix(batch.column("vector").filter(pa.array(dims == dim)), int(dim))
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                sums[int(dim)] = sums.get(int(dim), 0.0) + x.T @ x
-        for dim, s in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(s.size, dim, np.int32)), pa.array(np.arange(s.size, dtype=np.int32)), pa.array(s.ravel())], ["dim", "k", "v"])
+def principal_axes(classes: DataFrame, least: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For every vector length of more than `least` rows: (leading axes of all its unit vectors by descending variance, the
+    axis along which they spread most).
 
-    rows = classes.where(F.col("dim") <= WIDEST_BASIS).select("dim", "vector").mapInArrow(moments, "dim int, k int, v double").groupBy("dim", "k").agg(F.sum("v").alias("v")).collect()
-    flat: dict[int, dict[int, float]] = {}
-    for r in rows:
-        flat.setdefault(r["dim"], {})[r["k"]] = r["v"]
-    return {dim: np.linalg.eigh(np.array([v[k] for k in range(dim * dim)]).reshape(dim, dim))[1][:, ::-1] for dim, v in flat.items()}
+    A randomised range finder over all rows, in two passes: tasks sum length x RANK numbers, whatever the length, and
+    those sums reach the driver. They only order the work: any orthonormal axes give the same links.
+    """
+    dims = [r["dim"] for r in classes.groupBy("dim").count().where(F.col("count") > least).select("dim").collect()]
+    bases = {d: np.linalg.qr(np.random.default_rng(d).normal(size=(d, min(d, RANK))))[0] for d in dims}
+    for _ in range(2):
+        shared = classes.sparkSession.sparkContext.broadcast(bases)
+
+        def moments(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            sums: dict[int, np.ndarray] = {}
+            for batch in batches:
+                of = batch.column("dim").to_numpy()
+                for dim in np.unique(of).tolist():
+                    if dim in shared.value:
+                        x = _units(batch.column("vector").filter(pa.array(of == dim)), dim)
+                        sums[dim] = sums.get(dim, 0.0) + x.T @ np.c_[x @ shared.value[dim], np.ones(len(x))]
+            for dim, s in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(s.size, dim, np.int32)), pa.array(np.arange(s.size, dtype=np.int32)), pa.array(s.ravel())], ["dim", "k", "v"])
+
+        got = classes.select("dim", "vector").mapInArrow(moments, "dim int, k int, v double").groupBy("dim", "k").agg(F.sum("v").alias("v")).toArrow().to_pandas()
+        moved = {int(d): rows.sort_values("k")["v"].to_numpy().reshape(int(d), -1) for d, rows in got.groupby("dim")}
+        values = {d: np.linalg.eigh(bases[d].T @ m[:, :-1]) for d, m in moved.items()}  # of the last basis, for the last pass
+        last, bases = bases, {d: np.linalg.qr(m[:, :-1])[0] for d, m in moved.items()}
+    out = {}
+    for d, m in moved.items():
+        axes = last[d] @ values[d][1][:, ::-1]
+        n = max(1.0, float(np.abs(values[d][0]).sum()))
+        spread = values[d][0][::-1] / n - (m[:, -1] @ axes / n) ** 2
+        out[d] = axes, axes[:, int(np.argmax(spread))]
+    return out
 
 
 def links_in(x: np.ndarray, y: np.ndarray, axes: np.ndarray | None, threshold: float, first: int = 8) -> tuple[np.ndarray, np.ndarray]:
@@ -54,31 +70,44 @@ def links_in(x: np.ndarray, y: np.ndarray, axes: np.ndarray | None, threshold: f
     and once no pair can reach the threshold the tile ends. Survivors are decided on the given vectors in double.
     """
     ux, uy = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (x, y))
-    px, py = (ux, uy) if axes is None else (ux @ axes, uy @ axes)
-    dim, at, slack = x.shape[1], 0, 1e-9
-    tail = lambda p, k: np.sqrt(np.maximum((p[:, k:] ** 2).sum(1), 0))
-    ends = [k for k in (first, 2 * first, 4 * first) if k < dim] + [dim]
+    axes = np.eye(x.shape[1])[:, :RANK] if axes is None else axes
+    px, py = ux @ axes, uy @ axes
+    rank, at, slack = axes.shape[1], 0, 1e-9
+    tail = lambda p, k: np.sqrt(np.maximum(1 - (p[:, :k] ** 2).sum(1), 0) + 1e-12)
     part = np.zeros((len(x), len(y)))
-    for k in ends:
+    for k in [k for k in (first, 2 * first, 4 * first) if k < rank] + [rank]:
         part += px[:, at:k] @ py[:, at:k].T
         at = k
-        alive = part + np.outer(tail(px, k), tail(py, k)) >= threshold - slack
-        i, j = np.nonzero(alive)
+        i, j = np.nonzero(part + np.outer(tail(px, k), tail(py, k)) >= threshold - slack)
         if not len(i):
             return i, j
-        if len(i) * 4 < part.size or k == dim:  # few are left: finish them one by one
+        if len(i) * 4 < part.size:  # few are left: decide them one by one
             break
     sure = np.zeros(len(i), bool)
     for lo in range(0, len(i), 65536):
         a, b = i[lo : lo + 65536], j[lo : lo + 65536]
-        go = part[a, b].copy()
-        rest = (px[a, at:] * py[b, at:]).sum(1)
-        near = np.flatnonzero(go + rest >= threshold - slack)
+        near = np.flatnonzero((ux[a] * uy[b]).sum(1) >= threshold - slack)
         exact = (x[a[near]] * y[b[near]]).sum(1) / (np.linalg.norm(x[a[near]], axis=1) * np.linalg.norm(y[b[near]], axis=1))
         sure[lo + near] = exact >= threshold
     return i[sure], j[sure]
 
 
+def _blocks(keyed: DataFrame, block: int, reach: int) -> DataFrame:
+    """(g, dim, bin, first, last, low, high) for every bin: the blocks its rows are dealt to, and those within reach of it.
+
+    Blocks follow the order of the bins and hold about `block` rows; a bin of more rows has several. A group has at most
+    BINS bins, whatever its rows, so the windows here are small.
+    """
+    own = ["g", "dim"]
+    order = Window.partitionBy(*own).orderBy("bin")
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bins = keyed.groupBy(*own, "bin").agg(F.count("*").alias("n")).withColumn("before", before)
+    cut = lambda c: F.floor(c / F.lit(float(block))).cast("int")
+    bins = bins.select(*own, "bin", cut(F.col("before")).alias("first"), cut(F.col("before") + F.col("n") - 1).alias("last"))
+    near = order.rangeBetween(-reach, reach)
+    return bins.withColumns({"low": F.min("first").over(near), "high": F.max("last").over(near)})
+
+
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", group_col: str = "label", threshold: float = 0.98, block: int = 1024) -> DataFrame:
     """One row per row of vectors: id, n_links, component_id, kept.
 
@@ -86,7 +115,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     its own component) if its id, group or vector is null, its vector is empty, zero or holds null or non-finite
     components, or no other vector of its length is near. Equal vectors of a group are one class and are compared
     once; repeated rows count as separate vectors. An empty table gives no rows; other columns are ignored.
-    Every pair of classes of a group meets in one tile of two blocks, so no task holds a group.
+    Classes of a group are dealt to blocks by their angle to the axis along which all vectors spread most. Two vectors
+    whose angles differ by more than the threshold's own angle cannot link, so only blocks within that reach meet, each
+    two of them in one tile: no task holds a group.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("__id"), F.col(group_col).alias("__group"), F.col(vector_col).alias("__vector"))
     finite = F.forall("__vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
@@ -94,7 +125,27 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     good = rows.where(usable)
     classes = good.groupBy("__group", "__vector").agg(F.min("__id").alias("id"), F.count("*").alias("copies"))
     classes = written(classes.select("id", "copies", F.col("__group").alias("grp"), F.col("__vector").alias("vector"), F.size("__vector").alias("dim")), "vectors")
-    axes = vectors.sparkSession.sparkContext.broadcast(principal_axes(classes))  # one square matrix per vector length, at most WIDEST_BASIS wide
+    axes = vectors.sparkSession.sparkContext.broadcast(principal_axes(classes, block))  # length x RANK numbers for every vector length
+    step = np.pi / BINS
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims, bins = batch.column("dim").to_numpy(), np.zeros(batch.num_rows, np.int32)
+            for dim in np.unique(dims).tolist():
+                if dim in axes.value:
+                    x = _units(batch.column("vector").filter(pa.array(dims == dim)), dim)
+                    bins[dims == dim] = np.arccos(np.clip(x @ axes.value[dim][1], -1, 1)) / step
+            yield batch.append_column("bin", pa.array(bins))
+
+    # A group may be any value; the smallest id among its vectors of a length stands for it.
+    groups = written(classes.groupBy("grp", "dim").agg(F.min("id").alias("g"), F.count("*").alias("n")).where("n > 1").drop("n"), "labels")
+    keyed = classes.join(groups, ["grp", "dim"]).select("id", "copies", "vector", "dim", "g")
+    keyed = written(keyed.mapInArrow(place, StructType([*keyed.schema.fields, StructField("bin", IntegerType())])), "keyed")
+    reach = int(np.ceil(np.arccos(np.clip(threshold - 1e-9, -1, 1)) / step)) + 1
+    blocks = written(_blocks(keyed, block, reach), "blocks")
+    tiles = keyed.join(blocks, ["g", "dim", "bin"]).withColumn("b", F.col("first") + F.pmod(F.xxhash64("id"), (F.col("last") - F.col("first") + 1).cast("long")).cast("int"))
+    tiles = tiles.withColumn("other", F.explode(F.sequence("low", "high"))).withColumns({"t1": F.least("b", "other"), "t2": F.greatest("b", "other")})
+    tiles = tiles.select("id", "copies", "vector", "dim", "g", "b", "t1", "t2")
 
     def compare(table: pa.Table) -> Iterator[pa.RecordBatch]:
         starts = [*group_starts(table, ["dim", "g", "t1", "t2"]), table.num_rows]
@@ -104,7 +155,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         for lo, hi in zip(starts[:-1], starts[1:], strict=True):
             dim = int(dims[lo])
             x, own, n = _matrix(vectors.slice(lo, hi - lo), dim), ids[lo:hi], copies[lo:hi]
-            basis = axes.value.get(dim)
+            basis = axes.value[dim][0] if dim in axes.value else None
             if t1[lo] == t2[lo]:
                 i, j = links_in(x, x, basis, threshold)
                 i, j = i[i < j], j[i < j]
@@ -123,9 +174,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
             some = np.flatnonzero(found)
             yield pa.RecordBatch.from_arrays([pa.array(own[some]), pa.array(own[root[some]]), pa.array(found[some])], ["id", "other", "n"])
 
-    # A group is any value; its hash, held as a long with the vector length, keys the tiles.
-    keyed = classes.withColumn("g", F.xxhash64("grp")).drop("grp")
-    found = written(by_group(tiled(keyed, ["g", "dim"], "id", block), ["g", "dim", "t1", "t2"], compare, "id long, other long, n long"), "links")
+    found = written(by_group(tiles, ["g", "dim", "t1", "t2"], compare, "id long, other long, n long"), "links")
+    discard(keyed, blocks)
     component = connected_components(found.select(F.col("id").alias("src"), F.col("other").alias("dst")))
     per_class = (
         classes.select("id", "copies", "grp", "vector")
