@@ -8,19 +8,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import long_id, written
 
 BUCKETS = 1 << 14
-_SKIP = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
+#: What a match scans it takes, to the end where nothing closes it, and no tag reaches beyond the next "<": linear in any page.
+_SKIP = re.compile(r"(?is)<(script|style)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)|<[^<>]*>")
 _LETTERS = re.compile(r"[\W\d_]+")
-_LANG = re.compile(r"(?is)<html\b[^>]*?\slang\s*=\s*[\"']?([A-Za-z]{2,8})")
-_META = re.compile(r"(?is)<meta\b[^>]*?content-language[^>]*?content\s*=\s*[\"']?([A-Za-z]{2,8})")
+_LANG = re.compile(r"(?is)<html\b[^<>]*?\slang\s*=\s*[\"']?([A-Za-z]{2,8})")
+_META = re.compile(r"(?is)<meta\b[^<>]*>")
+_CONTENT = re.compile(r"(?is)\bcontent\s*=\s*[\"']?([A-Za-z]{2,8})")
 _HOST = re.compile(r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)")
 
 
+def declared_in(page: str) -> str | None:
+    """The language that a page's markup declares, by <html lang> or else by <meta content-language>."""
+    if m := _LANG.search(page):
+        return m[1]
+    tags = (m[0] for m in _META.finditer(page))
+    return next((c[1] for t in tags if "content-language" in t.lower() and (c := _CONTENT.search(t))), None)
+
+
 def trigrams(text: str) -> np.ndarray:
     """Hashed byte trigrams of the lower-cased letters of a whole text, words apart."""
     raw = _LETTERS.sub(" ", text.lower()).strip()
@@ -34,13 +44,14 @@ def fit(labelled: DataFrame, text_col: str, label_col: str, id_col: str, per_lab
     """(languages, log P(trigram | language)) from at most per_label labelled rows per language, those of smallest hash
     (a repeated id may bring more).
 
-    Rows whose text or label is null are passed over. The labels are those present in the table; more than 64 of them
-    are refused.
+    Rows whose text or label is null are passed over. The labels are those present in the table, however many; each
+    costs 64 KB where the model is held.
     """
     rows = labelled.select(F.col(text_col).alias("t"), F.lower(F.col(label_col)).alias("l"), F.xxhash64(id_col).alias("h")).where("t IS NOT NULL AND l IS NOT NULL")
-    labels = sorted(r["l"] for r in rows.groupBy("l").count().limit(65).collect())
-    if len(labels) > 64:
-        raise ValueError("more than 64 languages")
+    # Hashes alone are ranked, at most per_label of a language and task; texts are then counted where they are read.
+    ranked = rows.select("l", "h").withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("r") <= per_label)
+    last = written(ranked.groupBy("l").agg(F.max("h").alias("last")), "last")
+    labels = sorted(r["l"] for r in last.select("l").collect())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -52,18 +63,16 @@ def fit(labelled: DataFrame, text_col: str, label_col: str, id_col: str, per_lab
             yield pa.RecordBatch.from_arrays([pa.array([label] * len(at)), pa.array(at), pa.array(s[at])], ["l", "k", "n"])
 
     table = np.full((len(labels), BUCKETS), 0.5)
-    for i, label in enumerate(labels):
-        # Hashes alone are sorted; the texts at or below the last chosen one are counted where they are read.
-        last = rows.where(F.col("l") == label).select("h").orderBy("h").limit(per_label).agg(F.max("h")).first()[0]
-        some = rows.where((F.col("l") == label) & (F.col("h") <= last))
-        for r in some.select("t", "l").mapInArrow(count, "l string, k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
-            table[i, r["k"]] += r["n"]
+    some = rows.join(F.broadcast(last), "l").where("h <= last").select("t", "l")  # a row for each language
+    got = some.mapInArrow(count, "l string, k long, n long").groupBy("l", "k").agg(F.sum("n").alias("n")).toArrow()
+    at = {label: i for i, label in enumerate(labels)}
+    np.add.at(table, ([at[x] for x in got.column("l").to_pylist()], got.column("k").to_numpy()), got.column("n").to_numpy())
     return labels, np.log(table / table.sum(1, keepdims=True)).astype(np.float32)
 
 
 def evidence(rows: DataFrame, langs: list[str], model: np.ndarray, markup: bool, temper: float) -> DataFrame:
     """rows (id, body, declared, url, host) -> id, row hash, text log-likelihoods (tempered), letters, declared, suffix, host, domain."""
-    shared = rows.sparkSession.sparkContext.broadcast(model.T.copy())  # BUCKETS x languages (64 at most): at most 4 MB
+    shared = rows.sparkSession.sparkContext.broadcast(model.T.copy())  # BUCKETS x languages: 64 KB a language
     known = set(langs)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,7 +81,7 @@ def evidence(rows: DataFrame, langs: list[str], model: np.ndarray, markup: bool,
             for row, body, declared, url, host in zip(batch.column("rid").to_pylist(), batch.column("body"), *(batch.column(k).to_pylist() for k in ("declared", "url", "host")), strict=True):
                 text = body.as_py() or ""
                 if markup:
-                    found = declared or next((m[1] for p in (_LANG, _META) if (m := p.search(text))), None)
+                    found = declared or declared_in(text)
                     text = html.unescape(_SKIP.sub(" ", text))
                 else:
                     found = declared
