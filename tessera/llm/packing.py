@@ -7,7 +7,7 @@ slots out by each piece's rank among the pieces of its length.
 
 from __future__ import annotations
 
-import heapq
+import hashlib
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -29,7 +29,8 @@ class WordIds:
     file they encode the words that are not remembered, else the JSON's own tokenizer does.
     """
 
-    KEEP = 300_000
+    KEEP = 32 << 20  # characters of remembered words; a word of more than LONG is not remembered
+    LONG = 256
 
     def __init__(self, path: str):
         import re
@@ -40,6 +41,7 @@ class WordIds:
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.words = re.compile(r"\s*\S+|\s+").findall
         self.known: dict[str, bytes] = {}
+        self.held = 0
         ranks = Path(path).with_suffix(".tiktoken")
         if ranks.exists():
             import base64
@@ -61,12 +63,17 @@ class WordIds:
         try:
             return b"".join([known[w] for w in words])
         except KeyError:
-            if len(known) > self.KEEP:
-                known.clear()
-            for w in words:
-                if w not in known:
-                    known[w] = np.array(self.encode(w), "<u4").tobytes()
-            return b"".join([known[w] for w in words])
+            return b"".join([known.get(w) or self._learn(w) for w in words])
+
+    def _learn(self, word: str) -> bytes:
+        ids = np.array(self.encode(word), "<u4").tobytes()
+        if len(word) <= self.LONG:
+            if self.held > self.KEEP:
+                self.known.clear()
+                self.held = 0
+            self.known[word] = ids
+            self.held += len(word) + 64
+        return ids
 
 
 def pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
@@ -140,81 +147,117 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], i
     return [x for room in sorted(by_room) for x in by_room[room]]
 
 
+def _sums(lengths: list[int], counts: list[int], room: int) -> list[int]:
+    """For each k the set of sums up to room that the first k lengths make, each at most as often as it is there, as bits."""
+    mask, out = (1 << (room + 1)) - 1, [1]
+    for x, n in zip(lengths, counts, strict=True):
+        bits, n, step = out[-1], min(n, room // x), 1
+        while n > 0:
+            take = min(step, n)
+            bits |= bits << (take * x) & mask
+            n, step = n - take, step * 2
+        out.append(bits)
+    return out
+
+
+def _dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
+    """Whether b's members surely fit into a's, some into each: then a takes what is harder to place."""
+    room = sorted(a)
+    for x in b:
+        k = next((k for k, r in enumerate(room) if r >= x), None)
+        if k is None:
+            return False
+        room[k] -= x
+        room.sort()
+    return True
+
+
 def completions(left: np.ndarray, largest: int, capacity: int, spare: int, width: int) -> list[tuple[int, ...]]:
-    """Up to width undominated fillings around the largest length, least waste first, wasting at most spare.
+    """The width undominated fillings around the largest length that waste least, wasting at most spare, larger members first.
 
-    A filling is dominated when an unused length could be added, or could take the place of a smaller member.
-    Branches whose remaining room can no longer be filled to within spare are pruned.
+    Which sums the lengths can make is known before any filling is built, so the walk meets no dead end; it goes from the
+    fullest sum down, and a filling whose members fit into those of one already found is passed over.
     """
     room = capacity - largest
-    have = [int(x) for x in np.flatnonzero(left[: room + 1]) if x]
-    found: list[tuple[int, tuple[int, ...]]] = []
-    steps = 0
-
-    def grow(at: int, room: int, chosen: tuple[int, ...]) -> None:
-        nonlocal steps
-        steps += 1
-        if steps > 40 * width or len(found) >= width and not room:
+    own = left[: room + 1].copy()
+    if largest <= room:
+        own[largest] -= 1
+    have = [int(x) for x in np.flatnonzero(own > 0) if x]
+    counts = [int(own[x]) for x in have]
+    sums = _sums(have, counts, room)
+    found: list[tuple[int, ...]] = []
+
+    def grow(k: int, rest: int, chosen: tuple[int, ...], tries: list[int]) -> None:
+        if not rest:
+            if not any(_dominates(f[1:], chosen) for f in found):
+                found.append((largest, *chosen))
+            tries[0] -= 1
             return
-        own = int(left[largest]) - 1
-        extended = False
-        for k in range(at, -1, -1):
-            x = have[k]
-            if x > room:
-                continue
-            if chosen.count(x) >= (own if x == largest else left[x]):
-                continue
-            extended = True
-            grow(k, room - x, (*chosen, x))
-            if len(found) >= width:
+        for at in range(k, 0, -1):
+            x = have[at - 1]
+            if not sums[at] >> rest & 1:  # nor do fewer lengths make it
                 return
-        if not extended and room <= spare:
-            # Dominated if some member could be exchanged for a longer unused length within the room.
-            for x in set(chosen):
-                k = np.searchsorted(have, x, "right")
-                if k < len(have) and have[k] - x <= room and chosen.count(have[k]) < left[have[k]] - (have[k] == largest):
-                    return
-            heapq.heappush(found, (room, (largest, *chosen)))
-
-    grow(len(have) - 1, room, ())
-    return [c for _, c in sorted(found)[:width]]
+            for n in range(min(counts[at - 1], rest // x), 0, -1):
+                if sums[at - 1] >> (rest - n * x) & 1:
+                    grow(at - 1, rest - n * x, chosen + (x,) * n, tries)
+                    if len(found) >= width or tries[0] <= 0:
+                        return
+
+    for total in range(room, max(room - spare, 0) - 1, -1):
+        if sums[-1] >> total & 1:
+            grow(len(have), total, (), [4 * width])
+            if len(found) >= width or len(found) and len(found[-1]) <= 2:  # one other member, or none: it dominates all that fill less
+                break
+    return found
 
 
-def complete(counts: np.ndarray, capacity: int, nodes: int = 2000, width: int = 6) -> list[tuple[tuple[int, ...], int]]:
-    """Bin completion branch-and-bound on the histogram; the best fillings found, surely optimal only at the lower bound.
+def complete(counts: np.ndarray, capacity: int, nodes: int = 3000, width: int = 6, told: dict | None = None) -> list[tuple[tuple[int, ...], int]]:
+    """Bin completion branch-and-bound on the histogram; the best fillings found, surely fewest where they meet the lower bound.
 
-    The best-fit packing is the first incumbent. Each node takes the largest length left, tries its undominated
-    fillings, applies each as often as the counts allow, and is cut when its waste rules out a better packing. nodes
-    bounds the search; what is left open then keeps the incumbent, which is always complete.
+    The best-fit packing is the first incumbent. Each node takes the largest length left, tries its undominated fillings
+    by their waste, each as often as the counts allow, and is cut when its waste exceeds what a packing of one sequence
+    less may waste, when its lengths' own bound rules that out, or when the same lengths were left with no more
+    sequences before. nodes bounds the search; what is left open then keeps the incumbent, which is always complete.
+    told, if given, gets the best-fit and final sequences, the lower bound and the nodes used.
     """
     incumbent = best_fit(counts, capacity)
-    best, bound = sum(t for _, t in incumbent), lower_bound(counts, capacity)
+    first = best = sum(t for _, t in incumbent)
+    bound, used = lower_bound(counts, capacity), 0
     total = int((counts * np.arange(len(counts))).sum())
-    stack: list[tuple[np.ndarray, list, int, int]] = [(counts.copy(), [], 0, 0)]
-    while stack and best > bound and nodes > 0:
+    stack: list[tuple[np.ndarray, tuple | None, int, int]] = [(counts.copy(), None, 0, 0)]
+    seen: dict[bytes, int] = {}
+    while stack and best > bound and used < nodes:
         left, made, n, waste = stack.pop()
-        nodes -= 1
         if not left.any():
             if n < best:
-                incumbent, best = made, n
+                incumbent, best = _unrolled(made), n
             continue
         spare = (best - 1) * capacity - total - waste
-        if spare < 0 or n + lower_bound(left, capacity) >= best:
-            continue
-        if len(made) % 16 == 0 and (rest := best_fit(left, capacity)) and n + sum(t for _, t in rest) < best:
-            incumbent, best = [*made, *rest], n + sum(t for _, t in rest)
+        if spare < 0 or n + lower_bound(left, capacity) >= best or seen.get(key := hashlib.blake2b(left.tobytes(), digest_size=16).digest(), best) <= n:
             continue
+        seen[key] = n
+        used += 1
         largest = int(np.flatnonzero(left)[-1])
         for filling in reversed(completions(left, largest, capacity, spare, width)):
             uses = np.bincount(filling, minlength=len(left))
             some = uses > 0
-            times = int((left[some] // uses[some]).min())
             lost = capacity - sum(filling)
+            times = int((left[some] // uses[some]).min())
             times = max(1, min(times, spare // lost if lost else times))
-            stack.append((left - uses * times, [*made, (filling, times)], n + times, waste + lost * times))
+            stack.append((left - uses * times, (made, filling, times), n + times, waste + lost * times))
+    if told is not None:
+        told.update(best_fit=first, sequences=best, bound=bound, nodes=used)
     return incumbent
 
 
+def _unrolled(made: tuple | None) -> list[tuple[tuple[int, ...], int]]:
+    out = []
+    while made is not None:
+        made, filling, times = made
+        out.append((filling, times))
+    return out[::-1]
+
+
 def slots(fillings: list[tuple[tuple[int, ...], int]], size: int) -> dict[str, np.ndarray]:
     """For every length, runs of ranks: first rank, first sequence, offset; sequences count up with the ranks."""
     rows, taken, sequence = [], np.zeros(size, np.int64), 0

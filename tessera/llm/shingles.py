@@ -15,11 +15,13 @@ _WORDS = re.compile(r"\w+").findall
 class Shingler:
     """Stable hashes of the word n-grams of whole texts; a text of fewer words than n is one shingle, no words none."""
 
-    KEEP = 400_000
+    KEEP = 64 << 20  # characters of remembered words; a word of more than LONG is not remembered
+    LONG = 256
 
     def __init__(self, n: int = 5):
         self.n = n
         self.known: dict[str, int] = {}
+        self.held = 0
         self.rolls = mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
     def words(self, text: str) -> np.ndarray:
@@ -27,12 +29,17 @@ class Shingler:
         try:
             return np.array([known[w] for w in words], np.uint64)
         except KeyError:
-            if len(known) > self.KEEP:
-                known.clear()
-            for w in words:
-                if w not in known:
-                    known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-            return np.array([known[w] for w in words], np.uint64)
+            return np.array([self._learn(w) if (x := known.get(w)) is None else x for w in words], np.uint64)
+
+    def _learn(self, word: str) -> int:
+        x = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        if len(word) <= self.LONG:
+            if self.held > self.KEEP:
+                self.known.clear()
+                self.held = 0
+            self.known[word] = x
+            self.held += len(word) + 64
+        return x
 
     def __call__(self, text: str) -> np.ndarray:
         w = self.words(text)
