@@ -50,19 +50,21 @@ def _features(text: Column, words: Column, lists: list[list[str]]) -> Column:
 class Mixer:
     """A classifier of domains and fitted rates, both as column expressions over a text."""
 
-    def __init__(self, docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str, targets: dict[str, float], max_labelled: int, per_domain: int, temper: float, rounds: int, tolerance: float):
+    def __init__(self, docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str, targets: dict[str, float], max_labelled: int, per_domain: int, temper: float, rounds: int, tolerance: float, carried: list[str]):
         self.text_col, self.domains = text_col, tuple(targets)
         self.temper = temper
         some = labelled.where("__domain IS NOT NULL AND __id IS NOT NULL").groupBy("__id").agg(F.max("__domain").alias("__domain"))
         some = written(some.orderBy(F.xxhash64("__id")).limit(max_labelled), "examples")  # bounded, so it is broadcast
-        texts = docs.select(long_id(id_col).alias("__id"), self._text().alias("__text"))
+        texts = docs.select(long_id(id_col).alias("__id"), self._text().alias("__text"), F.struct(*carried).alias("__doc")) if carried else docs.select(long_id(id_col).alias("__id"), self._text().alias("__text"))
         examples = texts.join(F.broadcast(some), "__id").select("__domain", "__text", F.regexp_extract_all(F.lower("__text"), F.lit(_WORD), F.lit(0)).alias("__words"))
         self.lists = self._marking_words(examples, per_domain)
         self.table = self._fit(examples)
         self.steps: list[tuple[list[float], float]] = []
         self.residual = np.zeros(len(self.domains))
-        rows = texts.select("__id", F.xxhash64("__text").alias("__text_hash"), self._row(F.col("__text")).alias("x"))
-        self.rows = written(rows.select("__id", "__text_hash", "x.tokens", "x.post"), "posteriors")
+        # What the result carries is written beside the posteriors, so no text is classified or moved again.
+        kept = ["__doc"] if carried else []
+        rows = texts.select("__id", F.xxhash64("__text").alias("__text_hash"), *kept, self._row(F.col("__text")).alias("x"))
+        self.rows = written(rows.select("__id", "__text_hash", *kept, "x.tokens", "x.post"), "posteriors")
         self._descend(self.rows, targets, rounds, tolerance)
 
     def _text(self) -> Column:
@@ -161,13 +163,10 @@ class Mixer:
             self.steps.append(([float(x) for x in whiten @ (at_y - goal)], (t - 1) / after))
             t = after
 
-    def apply(self, docs: DataFrame, id_col: str) -> DataFrame:
-        """docs with __row (tokens, post, rate), __rate and __copies: the rate rounded up or down by a hash of the id and text."""
-        chance = _chance(long_id(id_col), F.xxhash64(self._text()))
-        whole = _let(self._row(self._text()), lambda x: F.struct(x["tokens"].alias("tokens"), x["post"].alias("post"), self.rates(x["post"])["r"].alias("rate")))
-        # The zero times a random number keeps filters on the copies above this projection: below, all would be made twice.
-        out = docs.withColumn("__row", whole).withColumn("__copies", F.floor(F.col("__row.rate") + chance + F.lit(0.0) * F.rand(0)).cast("int"))
-        return out.withColumn("__rate", F.col("__row.rate"))
+    def rated(self) -> DataFrame:
+        """rows with rate and copies: the rate rounded up or down by a hash of the id and text."""
+        rows = self.rows.withColumn("rate", self.rates(F.col("post"))["r"])
+        return rows.withColumn("copies", F.floor(F.col("rate") + _chance(F.col("__id"), F.col("__text_hash"))).cast("int"))
 
 
 def _chance(id_: Column, text_hash: Column) -> Column:
@@ -177,9 +176,9 @@ def _chance(id_: Column, text_hash: Column) -> Column:
 
 def mixer(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: dict[str, float] | None = None, max_labelled: int = 20_000,
-    per_domain: int = 64, temper: float = 0.6, rounds: int = 30, tolerance: float = 1e-4,
+    per_domain: int = 64, temper: float = 0.6, rounds: int = 30, tolerance: float = 1e-4, carried: list[str] | None = None,
 ) -> Mixer:
-    """Fits domain posteriors on at most max_labelled labelled rows and rates on all of docs.
+    """Fits domain posteriors on at most max_labelled labelled rows and rates on all of docs; rows keep the columns `carried`.
 
     The token budget is docs' own number of words; targets are shares of it. Null texts count as empty and have no
     tokens, null ids have no label; repeated rows count as often as they come; with no labels all domains are equally
@@ -187,18 +186,17 @@ def mixer(
     much as it must be; steps end when they no longer help, or after `rounds`.
     """
     labelled = labels.select(F.col(id_col).cast("long").alias("__id"), label_domain().alias("__domain"))
-    return Mixer(docs, labelled, id_col, text_col, targets or TARGETS, max_labelled, per_domain, temper, rounds, tolerance)
+    return Mixer(docs, labelled, id_col, text_col, targets or TARGETS, max_labelled, per_domain, temper, rounds, tolerance, carried or [])
 
 
 def document_rates(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """One row per row of docs: id, n_tokens, p_<domain>..., rate, copies. Edge cases as for mixer; other columns are ignored."""
     fitted = mixer(docs.select(id_col, text_col), labels, id_col, text_col, **how)
-    rows = fitted.rows.withColumn("rate", fitted.rates(F.col("post"))["r"])
-    copies = F.floor(F.col("rate") + _chance(F.col("__id"), F.col("__text_hash"))).cast("int")
-    return rows.select(id_back("__id").alias(id_col), F.col("tokens").cast("long").alias("n_tokens"), *[F.col("post")[k].alias(f"p_{d}") for k, d in enumerate(fitted.domains)], "rate", copies.alias("copies"))
+    rows = fitted.rated()
+    return rows.select(id_back("__id").alias(id_col), F.col("tokens").cast("long").alias("n_tokens"), *[F.col("post")[k].alias(f"p_{d}") for k, d in enumerate(fitted.domains)], "rate", "copies")
 
 
 def mixed(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs with each row as often as its rate says (rounded by hash), all columns as they were. Edge cases as for mixer."""
-    rows = mixer(docs, labels, id_col, text_col, **how).apply(docs, id_col).where("__copies > 0")
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    rows = mixer(docs, labels, id_col, text_col, carried=docs.columns, **how).rated().where("copies > 0")
+    return rows.select("__doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("__doc.*")
