@@ -14,11 +14,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import id_back, long_id, written
+from tessera.llm.shared import id_back, long_id, mix, written
 
 _WORDS = re.compile(r"\w+").findall
 STEM = 5
 BLOCK = 64
+COMMON = 16  # a term of more than one in so many examples is held by example, not by posting
+BATCH = 64  # texts that are searched together
+SLACK = 1e-5  # more than single precision loses; whatever is that close is decided in double
 
 
 def terms(text: str) -> list[str]:
@@ -27,6 +30,44 @@ def terms(text: str) -> list[str]:
     return words + [w[:STEM] + "-" for w in words if len(w) > STEM]
 
 
+class Terms:
+    """Numbers of known terms, and how often a text has each. Words and their stems are looked up once."""
+
+    KEEP = 32 << 20  # characters of remembered words; a word of more than LONG is not remembered
+    LONG = 256
+
+    def __init__(self, names: pa.Array):
+        self.names, self.known, self.held = names, None, 0
+
+    def __reduce__(self):
+        return Terms, (self.names,)
+
+    def _look(self, word: str) -> tuple[int, int]:
+        found = self.known.get(word, -1), self.known.get(word[:STEM] + "-", -1) if len(word) > STEM else -1
+        if len(word) <= self.LONG:
+            if self.held > self.KEEP:
+                self.words.clear()
+                self.held = 0
+            self.words[word] = found
+            self.held += len(word) + 64
+        return found
+
+    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        if self.known is None:
+            self.known = {t: i for i, t in enumerate(self.names.to_pylist())}
+            self.words: dict[str, tuple[int, int]] = {}
+        words, found = self.words, {}
+        for w, n in Counter(_WORDS(text.lower())).items():
+            i, j = words.get(w) or self._look(w)
+            if i >= 0:
+                found[i] = n
+            if j >= 0:
+                found[j] = found.get(j, 0) + n
+        t = np.fromiter(found.keys(), np.int32, len(found))
+        order = np.argsort(t)
+        return t[order], np.fromiter(found.values(), np.int32, len(found))[order]
+
+
 class Index:
     """Labelled examples in blocks: per term its postings, and its largest weight in each block; and each example's terms.
 
@@ -38,20 +79,27 @@ class Index:
         self.ready = False
 
     def _prepare(self) -> None:
-        ids, starts, terms, counts, idf = self.ids, self.starts, self.terms, self.counts, self.idf
-        rows = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(starts))
-        w = (1 + np.log(counts.astype(float))) * idf[terms]
-        norms = np.sqrt(np.bincount(rows, w * w, minlength=len(ids)))
+        n, size = len(self.ids), len(self.idf)
+        rows = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.starts))
+        w = (1 + np.log(self.counts.astype(float))) * self.idf[self.terms]
+        norms = np.sqrt(np.bincount(rows, w * w, minlength=n))
         self.own = np.divide(w, norms[rows], out=np.zeros(len(w)), where=norms[rows] > 0)
-        order = np.argsort(terms, kind="stable")
-        cols = terms[order]
-        self.docs, self.weights = rows[order], self.own[order]
-        key = cols.astype(np.int64) * (len(ids) // BLOCK + 1) + self.docs // BLOCK
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-        self.offsets = np.searchsorted(cols, np.arange(len(idf) + 1))
-        self.block_offsets = np.searchsorted(cols[first], np.arange(len(idf) + 1))
-        self.blocks = self.docs[first] // BLOCK
-        self.maxima = np.maximum.reduceat(self.weights, first) if len(first) else self.weights
+        del w
+        df = np.bincount(self.terms, minlength=size)
+        common = np.flatnonzero(df > n / COMMON)
+        self.place = np.full(size, -1, np.int32)
+        self.place[common] = np.arange(len(common))
+        blocks = -(-n // BLOCK)
+        self.held = np.zeros((len(common), blocks * BLOCK), np.float32)
+        on = self.place[self.terms] >= 0
+        self.held[self.place[self.terms[on]], rows[on]] = self.own[on]
+        self.maxima = self.held.reshape(len(common), blocks, BLOCK).max(2)
+        rare = np.flatnonzero(~on)
+        rare = rare[np.argsort(self.terms[rare], kind="stable")]
+        self.offsets = np.searchsorted(self.terms[rare], np.arange(size + 1))
+        self.docs, self.weights = rows[rare].astype(np.int64), self.own[rare].astype(np.float32)
+        self.dense = np.zeros(size)
+        self.counts = None
         self.ready = True
 
     def __reduce__(self):
@@ -70,69 +118,83 @@ class Index:
         starts = np.cumsum([0, *(len(e[2]) for e in examples)])
         return cls(np.array([e[0] for e in examples], np.int64), np.array([e[1] for e in examples], float), starts, flat(2), flat(3), idf)
 
-    def _sums(self, t: np.ndarray, q: np.ndarray, offsets: np.ndarray, at: np.ndarray, weights: np.ndarray, size: int) -> np.ndarray:
-        """The weighted postings (or block maxima) of the terms, summed by example (or block)."""
-        if not len(t):
-            return np.zeros(size)
-        spans = [slice(offsets[x], offsets[x + 1]) for x in t.tolist()]
-        return np.bincount(np.concatenate([at[s] for s in spans]), np.concatenate([weights[s] for s in spans]) * np.repeat(q, offsets[t + 1] - offsets[t]), minlength=size)
-
     def nearest(self, t: np.ndarray, n: np.ndarray, k: int, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k nearest with any cosine above 0, and all that tie with the last.
+        return self.search([(t, n, without)], k)[0]
+
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray, int | None]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each (terms, counts, id left out): (examples, cosines) of the k nearest with any cosine above 0, and all that tie with the last.
 
-        Terms with the most weight for their postings are summed example by example, the others bounded by block;
-        examples are then compared exactly by falling bound until the next is below the k-th cosine.
+        Postings of the rarer terms are summed by example; the common ones are bounded by the maxima of their blocks, and
+        blocks that cannot reach the k-th sum are out. In the others, products with the common terms' weights in single
+        precision leave the examples within SLACK of the k-th, and those are compared exactly, in double.
         """
         if not self.ready:
             self._prepare()
         none = np.zeros(0, np.int64), np.zeros(0)
-        q = (1 + np.log(n)) * self.idf[t]
-        norm = np.linalg.norm(q)
-        if not norm or not len(self.ids):
-            return none
-        q = q / norm
-        df = self.offsets[t + 1] - self.offsets[t]
-        order = np.argsort(-q / np.maximum(df, 1), kind="stable")
-        heavy, light = np.split(order, [np.searchsorted(np.cumsum(df[order]), 256 * len(self.ids)) + 1])
-        part = self._sums(t[heavy], q[heavy], self.offsets, self.docs, self.weights, len(self.ids))
-        rest = self._sums(t[light], q[light], self.block_offsets, self.blocks, self.maxima, len(self.ids) // BLOCK + 1)
-        bound = part + np.repeat(rest, BLOCK)[: len(part)]
-        if without is not None:
-            part = np.where(self.ids == without, 0, part)
-            bound = np.where(self.ids == without, 0, bound)
-        least = max(float(np.partition(part, -k)[-k]), 0.0) if len(part) >= k else 0.0
-        able = np.flatnonzero((bound > 0) & (bound >= least - 1e-12))
-        able = able[np.argsort(-bound[able], kind="stable")]
-        dense = np.zeros(len(self.idf))
-        dense[t] = q
-        found, scores = [], []
-        for lo in range(0, len(able), 128):
-            some = able[lo : lo + 128]
-            if bound[some[0]] < least - 1e-12:
-                break
-            sizes = self.starts[some + 1] - self.starts[some]
-            at = np.repeat(self.starts[some] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-            exact = np.bincount(np.repeat(np.arange(len(some)), sizes), dense[self.terms[at]] * self.own[at], minlength=len(some))
-            found.append(some[exact > 0])
-            scores.append(exact[exact > 0])
-            all_scores = np.concatenate(scores)
-            if len(all_scores) >= k:
-                least = max(least, float(np.partition(all_scores, -k)[-k]))
-        if not found:
-            return none
-        at, s = np.concatenate(found), np.concatenate(scores)
-        keep = s >= least - 1e-12
-        at, s = at[keep], s[keep]
-        order = np.lexsort((self.ids[at], -np.round(s, 12)))
-        return at[order], s[order]
-
-    def vote(self, t: list[int], n: list[int], k: int, without: int | None = None) -> tuple[float, np.ndarray, np.ndarray]:
-        """The neighbours' labels weighted by closeness; NaN without neighbours."""
-        at, s = self.nearest(np.array(t, np.int64), np.array(n, float), k, without)
-        if not len(at):
-            return float("nan"), at, s
-        w = 1 / (1.05 - np.minimum(s, 1))
-        return float((w * self.labels[at]).sum() / w.sum()), at, s
+        out: list[tuple[np.ndarray, np.ndarray]] = [none] * len(queries)
+        for lo in range(0, len(queries) if len(self.ids) else 0, BATCH):
+            some = queries[lo : lo + BATCH]
+            q_common, weights = np.zeros((len(some), len(self.held)), np.float32), []
+            for i, (t, n, _) in enumerate(some):
+                q = (1 + np.log(n)) * self.idf[t]
+                q = q / (np.linalg.norm(q) or 1)
+                at = self.place[t]
+                q_common[i, at[at >= 0]] = q[at >= 0]
+                weights.append(q)
+            bounds = q_common @ self.maxima
+            parts, blocks, able = [], [], []
+            for i, (t, _, without) in enumerate(some):
+                rare = self.place[t] < 0
+                a, b = self.offsets[t[rare]], self.offsets[t[rare] + 1]
+                part = np.zeros(self.held.shape[1])
+                if len(a):
+                    spans = list(map(slice, a.tolist(), b.tolist()))
+                    w = np.concatenate([self.weights[s] for s in spans]) * np.repeat(weights[i][rare].astype(np.float32), b - a)
+                    part = np.bincount(np.concatenate([self.docs[s] for s in spans]), w, minlength=len(part))
+                part = part.astype(np.float32).reshape(-1, BLOCK)
+                if without is not None:
+                    part.ravel()[: len(self.ids)][self.ids == without] = -2.0  # below whatever the common terms may add
+                top = part.max(1)
+                bound = top + bounds[i]
+                blocks.append(np.flatnonzero((bound > 0) & (bound >= _at_least(top, k) - SLACK)))
+                parts.append(part)
+            sums = q_common @ self.held
+            for i, (part, on) in enumerate(zip(parts, blocks, strict=True)):
+                near = part[on] + sums[i].reshape(-1, BLOCK)[on]
+                x, y = np.nonzero((near > 0) & (near >= _at_least(near.max(1, initial=0), k) - 2 * SLACK))
+                s = near[x, y]
+                if len(s) > k:
+                    keep = s >= np.partition(s, -k)[-k] - 2 * SLACK
+                    x, y = x[keep], y[keep]
+                able.append(on[x] * BLOCK + y)
+            for i, (t, _, _) in enumerate(some):
+                out[lo + i] = self._exact(t, weights[i], able[i], k)
+        return out
+
+    def _exact(self, t: np.ndarray, q: np.ndarray, some: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        self.dense[t] = q
+        terms, own = self.terms, self.own
+        s = np.array([self.dense[terms[a:b]] @ own[a:b] for a, b in zip(self.starts[some].tolist(), self.starts[some + 1].tolist(), strict=True)], float)
+        self.dense[t] = 0
+        some, s = some[s > 0], s[s > 0]
+        if len(s) > k:
+            keep = s >= np.partition(s, -k)[-k] - 1e-12
+            some, s = some[keep], s[keep]
+        order = np.lexsort((self.ids[some], -np.round(s, 12)))
+        return some[order], s[order]
+
+    def votes(self, queries: list[tuple[list[int], list[int], int | None]], k: int) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """The neighbours' labels weighted by closeness, NaN without neighbours; the neighbours and their cosines."""
+        out = []
+        for at, s in self.search([(np.array(t, np.int64), np.array(n, float), without) for t, n, without in queries], k):
+            w = 1 / (1.05 - np.minimum(s, 1))
+            out.append((float((w * self.labels[at]).sum() / w.sum()) if len(at) else float("nan"), at, s))
+        return out
+
+
+def _at_least(top: np.ndarray, k: int) -> float:
+    """What the k-th largest value reaches at least, by the largest of each block."""
+    return max(float(np.partition(top, -k)[-k]), 0.0) if len(top) >= k else 0.0
 
 
 def calibration(raw: np.ndarray, label: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
@@ -157,10 +219,13 @@ def calibration(raw: np.ndarray, label: np.ndarray) -> tuple[float, np.ndarray,
 
 
 def passage(text: str) -> int:
-    """A min-hash of the three-word shingles: equal for copies and for most near copies, which are one piece of evidence."""
+    """Four min-hashes of the three-word shingles as one: equal for copies and most close copies, which are one piece of
+    evidence, and unlike for texts that share only a part."""
     w = _WORDS(text.lower())
     shingles = {" ".join(x) for x in zip(w, w[1:], w[2:])} or {text}  # noqa: B905
-    return min(zlib.crc32(x.encode("utf-8", "surrogatepass")) * 0x9E3779B1 & 0xFFFFFFFF for x in shingles)
+    h = np.array([zlib.crc32(x.encode("utf-8", "surrogatepass")) for x in shingles], np.uint64)
+    least = [int(mix(h + np.uint64(k << 32)).min()) for k in range(1, 5)]
+    return int.from_bytes(hashlib.blake2b(repr(least).encode(), digest_size=8).digest(), "little", signed=True)
 
 
 def vocabulary(counts: list[tuple[str, int, int]], n: int, positive: int, size: int, chance: float, tested: int) -> list[str]:
@@ -231,29 +296,30 @@ def score(
     chosen = vocabulary([(r["term"], r["a"], r["b"]) for r in top], n, positive, size, chance, counted.count())
     names = counted.select("term").toArrow().column(0).combine_chunks()  # the terms of max_labelled texts at most
     picked = [i for i in pc.index_in(pa.array(chosen, pa.string()), names).to_pylist() if i is not None]
-    size_of, shared = len(names), spark.sparkContext.broadcast(names)
+    size_of, shared = len(names), spark.sparkContext.broadcast(Terms(names))
     del names
 
+    def appearances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(size_of, np.int64)
+        for batch in batches:
+            for text in batch.column(0):
+                seen[shared.value(text.as_py())[0]] += 1
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["t", "n"])
+
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = {t: i for i, t in enumerate(shared.value.to_pylist())}
         for batch in batches:
-            t, c = [], []
-            for text in batch.column("__text"):
-                found = Counter(known[x] for x in terms(text.as_py()) if x in known)
-                at = sorted(found)
-                t.append(at)
-                c.append([found[x] for x in at])
-            yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("__hash"), pa.array(t, pa.list_(pa.int32())), pa.array(c, pa.list_(pa.int32()))], ["__id", "__hash", "t", "n"])
-
-    hashed = texts.withColumn("__hash", F.xxhash64("__text"))
-    found = written(hashed.mapInArrow(extract, "__id long, __hash long, t array<int>, n array<int>"), "terms")
+            both = [shared.value(text.as_py()) for text in batch.column("__text")]
+            yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("__label"), batch.column("__hash"), *(pa.array([x[k] for x in both], pa.list_(pa.int32())) for k in (0, 1))], ["__id", "__label", "__hash", "t", "n"])
+
     df = np.zeros(size_of)
-    seen_in = found.select(F.explode("t").alias("t")).groupBy("t").count().toArrow()  # a row for each of the names at most
-    df[seen_in.column("t").to_numpy()] = seen_in.column("count").to_numpy()
-    idf = np.log(1 + found.count() / np.maximum(df, 1))
+    seen_in = texts.select("__text").mapInArrow(appearances, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()  # a row for each of the names at most
+    df[seen_in.column("t").to_numpy()] = seen_in.column("n").to_numpy()
+    idf = np.log(1 + docs.count() / np.maximum(df, 1))
     idf[picked] *= stress
     del seen_in, df
-    rows = written(found.join(F.broadcast(examples), "__id").dropDuplicates(["__id", "__hash"]), "indexed")
+    once = labelled.withColumn("__hash", F.xxhash64("__text")).dropDuplicates(["__id", "__hash"])
+    rows = written(once.select("__id", "__label", "__hash", "__text").mapInArrow(extract, "__id long, __label int, __hash long, t array<int>, n array<int>"), "indexed")
     table = rows.select("__id", "__label", "t", "n").toArrow()
     lists = [[x.values.to_numpy() for x in table.column(c)] for c in ("t", "n")]  # max_labelled texts' terms
     index = spark.sparkContext.broadcast(Index.build(list(zip(table.column("__id").to_pylist(), [int(x > 0) for x in table.column("__label").to_pylist()], *lists, strict=True)), idf))
@@ -261,28 +327,27 @@ def score(
 
     def trial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = [index.value.vote(t, c, k, i)[0] for i, t, c in zip(*(batch.column(x).to_pylist() for x in ("__id", "t", "n")), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(raw, pa.float64(), from_pandas=False), batch.column("__label")], ["raw", "__label"])
+            ids, t, n = (batch.column(x).to_pylist() for x in ("__id", "t", "n"))
+            yield pa.RecordBatch.from_arrays([pa.array([v[0] for v in index.value.votes(list(zip(t, n, ids, strict=True)), k)], pa.float64(), from_pandas=False), batch.column("__label")], ["raw", "__label"])
 
-    tried = rows.repartition(32, "__id").mapInArrow(trial, "raw double, __label int").collect()
+    tried = rows.repartition("__id", "__hash").mapInArrow(trial, "raw double, __label int").collect()
     lone, knots, values = calibration(np.array([r["raw"] for r in tried], float), np.array([r["__label"] > 0 for r in tried], float)) if tried else (0.0, np.array([0.0, 1.0]), np.array([0.0, 0.0]))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, tuple] = {}
         for batch in batches:
-            out = []
-            for t, c in zip(batch.column("t").to_pylist(), batch.column("n").to_pylist(), strict=True):
-                key = hashlib.blake2b(np.array([t, c], np.int32).tobytes(), digest_size=16).digest()
-                if key not in known:
-                    if len(known) > 50_000:
-                        known.clear()
-                    raw, at, s = index.value.vote(t, c, k)
-                    p = lone if np.isnan(raw) else float(np.interp(raw, knots, values))
-                    known[key] = (min(max(p, 0.0), 1.0), [int(x) for x in index.value.ids[at[:evidence]]], [float(x) for x in s[:evidence]])
-                out.append(known[key])
+            texts = [shared.value(text.as_py()) for text in batch.column("__text")]
+            keys = [hashlib.blake2b(np.concatenate(x).tobytes(), digest_size=16).digest() for x in texts]
+            if len(known) > 50_000:
+                known.clear()
+            new = {key: (*x, None) for key, x in zip(keys, texts, strict=True) if key not in known}
+            for key, (raw, at, s) in zip(new, index.value.votes(list(new.values()), k), strict=True):
+                p = lone if np.isnan(raw) else float(np.interp(raw, knots, values))
+                known[key] = (min(max(p, 0.0), 1.0), [int(x) for x in index.value.ids[at[:evidence]]], [float(x) for x in s[:evidence]])
+            out = [known[key] for key in keys]
             kinds = [pa.float64(), pa.list_(pa.int64()), pa.list_(pa.float64())]
             if out:
                 yield pa.RecordBatch.from_arrays([batch.column("__id"), *(pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True))], ["__id", "score", "evidence", "similarity"])
 
-    scored = found.mapInArrow(judge, "__id long, score double, evidence array<long>, similarity array<double>").withColumn(id_col, id_back("__id"))
+    scored = texts.mapInArrow(judge, "__id long, score double, evidence array<long>, similarity array<double>").withColumn(id_col, id_back("__id"))
     return scored.select(id_col, held(id_col).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence", "similarity")
