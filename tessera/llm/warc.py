@@ -28,7 +28,7 @@ TO_TEXT = (
     (r"(?is)<script\b[^<>]*>.*?(?:</script\s*>|\z)|<style\b[^<>]*>.*?(?:</style\s*>|\z)|<!--.*?(?:-->|\z)", " "),
     (r"(?i)</?(?:p|div|br|li|ul|ol|tr|table|h[1-6]|article|section|nav|header|footer|title|head|body|html)\b[^<>]*>", "\n"), (r"<[^<>]*>", ""),
 )
-SQUEEZE = ((r"[ \t\r\f]+", " "), (r" ?\n[ \n]*", "\n"), (r"^[ \n]+|[ \n]+$", ""))
+SQUEEZE = ((r"[ \t\r\f]{2,}|[\t\r\f]", " "), (r" ?\n[ \n]*", "\n"))  # a single space stays as it is
 TITLE, HREF, LANG = r"(?is)<title\b[^<>]*>([^<]*)", r'(?i)<a\s[^<>]*?href="([^"]*)"', r'(?i)<html\b[^<>]*?\slang="([^"]*)"'
 #: The same values in double, single or no quotes; what the records are made with.
 _VALUE = r"""\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*)"""
@@ -53,7 +53,7 @@ def plain_text(body: Column) -> Column:
     body = _resolved(body)
     for pattern, put in SQUEEZE:
         body = F.regexp_replace(body, pattern, put)
-    return body
+    return F.btrim(body, F.lit(" \n"))
 
 
 def urn(of: Column) -> Column:
@@ -149,6 +149,7 @@ def report_sql() -> str:
     )
     split = f"string_split({chain('payload', TO_TEXT)}, '&')"
     body = chain(f"{split}[1] || coalesce(array_to_string(list_transform({split}[2:], lambda x: {one}), ''), '')", SQUEEZE)
+    body = f"trim({body}, ' ' || chr(10))"
     title = chain(f"regexp_extract(payload, {q(TITLE)}, 1)", ((r"[ \t\r\n\f]+", " "), (r"^ | $", "")))
     id_of = lambda x: f"'<urn:uuid:' || regexp_replace(md5({x}), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5') || '>'"
     return f"""
