@@ -176,7 +176,8 @@ def completions(left: np.ndarray, largest: int, capacity: int, spare: int, width
     """The width undominated fillings around the largest length that waste least, wasting at most spare, larger members first.
 
     Which sums the lengths can make is known before any filling is built, so the walk meets no dead end; it goes from the
-    fullest sum down, and a filling whose members fit into those of one already found is passed over.
+    fullest sum down, and a filling whose members fit into those of one already found is passed over. At most 8 * width
+    fillings are looked at.
     """
     room = capacity - largest
     own = left[: room + 1].copy()
@@ -203,10 +204,11 @@ def completions(left: np.ndarray, largest: int, capacity: int, spare: int, width
                     if len(found) >= width or tries[0] <= 0:
                         return
 
+    tries = [8 * width]  # fillings looked at, dominated ones among them
     for total in range(room, max(room - spare, 0) - 1, -1):
         if sums[-1] >> total & 1:
-            grow(len(have), total, (), [4 * width])
-            if len(found) >= width or len(found) and len(found[-1]) <= 2:  # one other member, or none: it dominates all that fill less
+            grow(len(have), total, (), tries)
+            if len(found) >= width or tries[0] <= 0 or len(found) and len(found[-1]) <= 2:  # one other member, or none: it dominates all that fill less
                 break
     return found
 
