@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import long_id, written
@@ -41,16 +41,15 @@ def trigrams(text: str) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, text_col: str, label_col: str, id_col: str, per_label: int = 1000) -> tuple[list[str], np.ndarray]:
-    """(languages, log P(trigram | language)) from at most per_label labelled rows per language, those of smallest hash
-    (a repeated id may bring more).
+    """(languages, log P(trigram | language)) from about per_label labelled rows per language, those whose id's hash is in
+    the first per_label / n of its range, or all n if they are fewer.
 
     Rows whose text or label is null are passed over. The labels are those present in the table, however many; each
     costs 64 KB where the model is held.
     """
     rows = labelled.select(F.col(text_col).alias("t"), F.lower(F.col(label_col)).alias("l"), F.xxhash64(id_col).alias("h")).where("t IS NOT NULL AND l IS NOT NULL")
-    # Hashes alone are ranked, at most per_label of a language and task; texts are then counted where they are read.
-    ranked = rows.select("l", "h").withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("r") <= per_label)
-    last = written(ranked.groupBy("l").agg(F.max("h").alias("last")), "last")
+    # A language of n rows keeps those whose hash is in the first per_label / n of its range: counts alone are needed for that.
+    last = written(rows.groupBy("l").agg(F.ceil(F.lit(2.0**31) * F.least(F.lit(per_label) / F.count("*"), F.lit(1.0))).alias("last")), "last")
     labels = sorted(r["l"] for r in last.select("l").collect())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,7 +62,7 @@ def fit(labelled: DataFrame, text_col: str, label_col: str, id_col: str, per_lab
             yield pa.RecordBatch.from_arrays([pa.array([label] * len(at)), pa.array(at), pa.array(s[at])], ["l", "k", "n"])
 
     table = np.full((len(labels), BUCKETS), 0.5)
-    some = rows.join(F.broadcast(last), "l").where("h <= last").select("t", "l")  # a row for each language
+    some = rows.join(F.broadcast(last), "l").where("pmod(h, 2147483648) < last").select("t", "l")  # a row for each language
     got = some.mapInArrow(count, "l string, k long, n long").groupBy("l", "k").agg(F.sum("n").alias("n")).toArrow()
     at = {label: i for i, label in enumerate(labels)}
     np.add.at(table, ([at[x] for x in got.column("l").to_pylist()], got.column("k").to_numpy()), got.column("n").to_numpy())
