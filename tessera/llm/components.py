@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import written
+from tessera.llm.shared import discard, written
 
 
 def _print(edges: DataFrame) -> tuple:
@@ -30,10 +30,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = written(both.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("src", "m").alias("m")), "low")
         large = both.where("dst > src").join(low, "src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).distinct()
         large = written(large, "large")
+        discard(low, now)
         low = written(large.groupBy("src").agg(F.min("dst").alias("m")), "low")
         joined = large.join(low, "src")
         small = joined.select("src", F.col("m").alias("dst")).unionByName(joined.where("dst <> m").select(F.col("dst").alias("src"), F.col("m").alias("dst"))).distinct()
         now = written(small, "small")
+        discard(low, large)
         last, seen = seen, _print(now)
         if last == seen:
             break

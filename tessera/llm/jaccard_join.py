@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from math import comb
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import connected_components
-from tessera.llm.shared import NULL_ID, by_group, group_starts, id_back, local_components, long_id, mix, written
+from tessera.llm.shared import NULL_ID, Flags, by_group, discard, group_starts, id_back, local_components, long_id, mix, written
 from tessera.llm.shingles import Shingler, set_key
 from tessera.llm.tiles import tiled
 
@@ -110,16 +111,17 @@ def _likely(table: pa.Table, keys: list[str], least: int) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([pa.array(ids[far]), pa.array(ids[root[far]])], ["src", "dst"])
 
 
-def candidates(classes: DataFrame, threshold: float, leaf: int, depth: int, least: int) -> DataFrame:
-    """Edges between classes that are likely similar, found at the leaves of the chosen paths.
+def candidates(classes: DataFrame, threshold: float, leaf: int, depth: int, least: int, used: list[DataFrame] | None = None) -> DataFrame:
+    """Edges between classes that are likely similar, found at the leaves of the chosen paths; the written tables that hold them go to `used`.
 
     A bucket of at most `leaf` sets is compared outright. A larger one is split again on the coordinates its path
     samples; one whose path samples none, or that is still larger after `depth` splits, is compared in tiles of two
-    blocks of `leaf` sets.
+    blocks of 16 * leaf sets.
     """
     spread = classes.select("cid", F.explode("paths").alias("path"))
     sketch = classes.select("cid", "sketch")
     edges: list[DataFrame] = []
+    done: list[DataFrame] = []
     chance = np.uint64(2**64 / (threshold * WIDTH))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,19 +145,40 @@ def candidates(classes: DataFrame, threshold: float, leaf: int, depth: int, leas
         small = spread.join(sizes.where(F.col("n") <= leaf), "path").select("cid", "path").join(sketch, "cid")
         edges.append(written(by_group(small, ["path"], lambda t: _likely(t, ["path"], least), "src long, dst long").distinct(), "likely"))
         large = written(spread.join(sizes.where(F.col("n") > leaf), "path").select("cid", "path"), "large")
+        done += [sizes, large]
         if not large.take(1):
             break
         ended = large
         if level < depth:
             moved = written(large.join(sketch, "cid").mapInArrow(split, "cid long, path long, ended boolean"), "split")
+            done.append(moved)
             spread, ended = moved.where("NOT ended").drop("ended"), moved.where("ended").drop("ended")
         if ended.take(1):
-            tiles = tiled(ended, ["path"], "cid", leaf).select("cid", "path", "t1", "t2").join(sketch, "cid")
+            # Only sketches meet here, so blocks are larger than a leaf and each row is copied to fewer tiles.
+            tiles = tiled(ended, ["path"], "cid", 16 * leaf).select("cid", "path", "t1", "t2").join(sketch, "cid")
             edges.append(written(by_group(tiles, ["path", "t1", "t2"], lambda t: _likely(t, ["path", "t1", "t2"], least), "src long, dst long", 2048).distinct(), "likely"))
-    out = edges[0]
-    for e in edges[1:]:
-        out = out.unionByName(e)
-    return out
+    discard(*done)
+    if used is not None:
+        used += edges
+    return reduce(DataFrame.unionByName, edges)
+
+
+def _partners(table: pa.Table, least: int) -> Iterator[pa.RecordBatch]:
+    """The rows (cid, comp, t1, t2, b) of each tile whose sketch agrees in `least` coordinates with another's there."""
+    s = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(-1, WIDTH)
+    b, t1, t2 = (table.column(k).to_numpy() for k in ("b", "t1", "t2"))
+    keep = np.zeros(table.num_rows, bool)
+    starts = [*group_starts(table, ["comp", "t1", "t2"]), table.num_rows]
+    for lo, hi in zip(starts[:-1], starts[1:], strict=True):
+        own = s[lo:hi]
+        for k in range(hi - lo - 1):
+            near = (own[k + 1 :] == own[k]).sum(1) >= least
+            if t1[lo] != t2[lo]:
+                near &= b[lo + k + 1 : hi] != b[lo + k]
+            if near.any():
+                keep[lo + k] = True
+                keep[lo + k + 1 : hi] |= near
+    yield from table.select(["cid", "comp", "t1", "t2", "b"]).filter(pa.array(keep)).combine_chunks().to_batches()
 
 
 def _exact(table: pa.Table, shingle: Shingler, times: int, over: int) -> Iterator[pa.RecordBatch]:
@@ -219,8 +242,8 @@ def similarity_join(
     share their class; an empty table gives no rows; other columns are ignored, whatever their names.
 
     Equal sets are one class. Chosen paths over min-hash coordinates find likely links with the given recall for a
-    pair at the threshold; classes that they connect are then compared with each other over their whole sets, in tiles,
-    so that counts are exact there and no pair is ever written out.
+    pair at the threshold. Classes that they connect meet in tiles: first their sketches, which a pair at the threshold
+    passes but for 1e-9, then the whole sets of those with a partner, so that no pair is ever written out.
     """
     times, over = similarity
     threshold = times / over
@@ -230,20 +253,30 @@ def similarity_join(
     cid = F.xxhash64("k1", "k2", "size").alias("cid")
     classes = sets.groupBy("k1", "k2", "size").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.any_value("sketch").alias("sketch"), F.any_value("paths").alias("paths"))
     classes = written(classes.select(cid, "k1", "k2", "rep", "copies", "sketch", "paths"), "sets")
-    likely = connected_components(candidates(classes, threshold, leaf, depth, least))
-    near = written(classes.select("cid", "k1", "k2", "rep", "copies").join(likely.withColumnRenamed("node", "cid").withColumnRenamed("component", "comp"), "cid"), "near")
+    edges: list[DataFrame] = []
+    likely = connected_components(candidates(classes, threshold, leaf, depth, least, edges))
+    discard(*edges)
+    near = written(classes.select("cid", "k1", "k2", "rep", "copies", "sketch").join(likely.withColumnRenamed("node", "cid").withColumnRenamed("component", "comp"), "cid"), "near")
+    # Sketches meet first; a text goes only to the tiles that hold a likely partner of it.
+    sure = least_common(1 - 1e-9, threshold, 0.0)
+    tiles = tiled(near.select("cid", "comp", "sketch"), ["comp"], "cid", block)
+    meet = written(by_group(tiles, ["comp", "t1", "t2"], lambda t: _partners(t, sure), "cid long, comp long, t1 int, t2 int, b int"), "meet")
+    wanted = written(near.select("cid", "k1", "k2", "rep", "copies").join(meet, "cid"), "wanted")
+    discard(near, meet)
     texts = docs.select(long_id(id_col).alias("rep"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    tiles = tiled(near, ["comp"], "cid", block).join(texts, "rep")
+    tiles = wanted.join(texts.where(Flags(wanted.select("rep").distinct(), "rep").on()), "rep")
 
     def check(batch: pa.Table) -> Iterator[pa.RecordBatch]:
         return _exact(batch, Shingler(n), times, over)
 
     found = written(by_group(tiles, ["comp", "t1", "t2"], check, "cid long, other long, n long", 1024), "links")
+    discard(wanted)
     linked = connected_components(found.select(F.col("cid").alias("src"), F.col("other").alias("dst"))).withColumnRenamed("node", "cid")
     group = classes.select("cid", "rep", "copies").join(linked, "cid", "left").select("cid", "rep", "copies", F.coalesce("component", "cid").alias("component"))
     group = written(group.join(found.groupBy("cid").agg(F.sum("n").alias("n")), "cid", "left"), "groups")
     low = written(group.groupBy("component").agg(F.min("rep").alias("class_id")), "lowest")
     result = written(group.join(low, "component").select("cid", "class_id", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links")), "classes")
+    discard(classes, found, group, low)
     out = sig.select("id", "text_hash", F.when(F.col("size") > 0, F.xxhash64("k1", "k2", "size")).alias("cid")).join(result, "cid", "left")
     out = out.select("id", "text_hash", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     return out.select(id_back("id").alias(id_col), id_back("class_id").alias("class_id"), "n_links", (F.col("id") == F.col("class_id")).alias("kept"), *(["text_hash"] if with_hash else []))
@@ -256,11 +289,16 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     judged = similarity_join(docs, id_col, text_col, with_hash=True, **how)
     judged = written(judged.select(F.coalesce(F.col(id_col), F.lit(NULL_ID)).alias("__id"), F.col("text_hash").alias("__text"), "kept"), "judged")
-    drop = written(judged.where("NOT kept").select("__id", "__text").distinct(), "drop")
+    key = ["__id", "__text"]
+    drop = written(judged.where("NOT kept").select(*key).distinct(), "drop")
     keyed = docs.withColumns({"__id": long_id(id_col), "__text": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
-    left = keyed.join(drop, ["__id", "__text"], "left_anti")
-    if judged.where("kept").groupBy("__id").count().where("count > 1").take(1):  # rows that share an id: of equal ones, one stays
-        wordy = judged.groupBy("__id", "__text").agg(F.count("*").alias("__times")).where("__times > 1")
-        again = left.join(written(wordy, "again"), ["__id", "__text"], "left")
-        left = again.where("__times IS NULL").unionByName(again.where("__times IS NOT NULL").dropDuplicates(["__id", "__text"]))
+    in_drop = Flags(drop, *key).on()
+    left = keyed.where(~in_drop).unionByName(keyed.where(in_drop).join(drop, key, "left_anti"))
+    again = written(judged.groupBy(*key).agg(F.count("*").alias("__times")).where("__times > 1").select(*key), "again")
+    discard(judged)
+    if again.take(1):  # equal rows: one stays
+        repeated = Flags(again, *key).on()
+        maybe = left.where(repeated)
+        once = maybe.join(again, key, "left_semi").dropDuplicates(key)
+        left = left.where(~repeated).unionByName(maybe.join(again, key, "left_anti")).unionByName(once)
     return left.select(*docs.columns)
