@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import id_back, long_id, written
+from tessera.llm.shared import discard, id_back, long_id, written
 
 #: The kinds in their order, with patterns that match as the published ones do. Possessive repeats and a
 #: start that is no continuation of a run keep long runs linear; \G lets a match start where the last one ended.
@@ -135,7 +135,9 @@ def sanitise(
     by_text = found.groupBy("__id", "__text_hash").agg(F.any_value("__spans").alias("__spans")).join(hits, "__text_hash", "left")
     marks = by_text.select("__id", "__text_hash", F.transform("__spans", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"))).alias("__spans"), "__hits")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.withColumns({"__id": long_id(id_col), "__text_hash": F.xxhash64(text)}).join(written(marks, "marks"), ["__id", "__text_hash"])
+    marks = written(marks, "marks")
+    discard(found, words, pairs, hits)
+    keyed = docs.withColumns({"__id": long_id(id_col), "__text_hash": F.xxhash64(text)}).join(marks, ["__id", "__text_hash"])
     base = F.transform("__spans", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), F.element_at(F.array(*[F.lit(f"[{k}]") for k in KINDS]), x["k"] + 1).alias("with")))
     outside = lambda w: F.map_contains_key("__hits", F.lower(w["m"])) & ~F.exists("__spans", lambda b: (b["s"] < w["e"]) & (w["s"] < b["e"]))
     extra = F.transform(F.filter(matches(text, WORD), outside), lambda w: F.struct(w["s"].alias("s"), F.lit(len(KINDS)).alias("k"), w["e"].alias("e"), F.element_at("__hits", F.lower(w["m"])).alias("with")))
