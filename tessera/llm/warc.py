@@ -35,10 +35,29 @@ _VALUE = r"""\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*)"""
 ANY_HREF, ANY_LANG = r"(?i)<a\s[^<>]*?(?<![\w-])href" + _VALUE, r"(?i)<html\b[^<>]*?\slang" + _VALUE
 
 
+#: Of ASCII letters and spaces alone, as SQL has them.
+_STEPS = [(re.compile(pattern.replace(r"\z", r"\Z"), re.ASCII), put) for pattern, put in TO_TEXT]
+
+
+def text_of(page: str) -> str:
+    """Visible text of a page: one line per block, single spaces.
+
+    References, named and numeric, are resolved once each; a non-breaking space by name becomes a space. Squeezing by
+    replacement and by lines says the same as SQUEEZE, in a fraction of the time.
+    """
+    for pattern, put in _STEPS:
+        page = pattern.sub(put, page)
+    page = html.unescape(page.replace("&nbsp;", " "))
+    for space in "\t\r\f":
+        page = page.replace(space, " ")
+    while "  " in page:
+        page = page.replace("  ", " ")
+    return "\n".join(filter(None, (line.strip(" ") for line in page.split("\n"))))
+
+
 @F.udf(returnType=StringType(), useArrow=True)
-def _resolved(text: str | None) -> str | None:
-    """All named and numeric references, each once; a non-breaking space by name becomes a space."""
-    return text and html.unescape(text.replace("&nbsp;", " "))
+def _texts(page: str | None) -> str | None:
+    return page and text_of(page)
 
 
 def _bare(value: Column) -> Column:
@@ -47,13 +66,8 @@ def _bare(value: Column) -> Column:
 
 
 def plain_text(body: Column) -> Column:
-    """Visible text of a page: one line per block, single spaces."""
-    for pattern, put in TO_TEXT:
-        body = F.regexp_replace(body, pattern, put)
-    body = _resolved(body)
-    for pattern, put in SQUEEZE:
-        body = F.regexp_replace(body, pattern, put)
-    return F.btrim(body, F.lit(" \n"))
+    """Visible text of a page, see text_of."""
+    return _texts(body)
 
 
 def urn(of: Column) -> Column:
