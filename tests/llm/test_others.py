@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import os
 import random
+import re
 import zlib
 
 import numpy as np
@@ -151,6 +152,21 @@ def test_warc(spark, tmp_path):
     assert warc.report(pages.limit(0)).count() == 0
 
 
+def test_warc_text_is_what_its_patterns_say():
+    def plain(page):
+        for pattern, put in warc.TO_TEXT:
+            page = re.sub(pattern.replace(r"\z", r"\Z"), put, page, flags=re.ASCII)
+        page = html.unescape(page.replace("&nbsp;", " "))
+        for pattern, put in warc.SQUEEZE:
+            page = re.sub(pattern, put, page)
+        return page.strip(" \n")
+
+    rng = random.Random(3)
+    parts = ["<p>", "</div>", " ", "  ", "\n", "\t", "\r\n", "\f", "\x0b", "\xa0", "&nbsp;", "&#160;", "a", "ſ", "<b", "<script>", "</script >", "<!--", "-->", "<p", ">", "<STYLE x>", "&amp;lt;", "&#10;", "&Tab;"]
+    for page in ["", *("".join(rng.choices(parts, k=rng.randrange(1, 40))) for _ in range(5000))]:
+        assert warc.text_of(page) == plain(page)
+
+
 def test_warc_references_and_quotings(spark):
     text = "&copy; &middot; &eacute;t&eacute; &#233;&#xE9; &amp;lt; &hellip; &notit; AT&T &#0; &lt;b&gt;"
     page = f"<html lang = 'fr'><a href='http://x/'>{text}</a><a class=c href = http://y/z>.</a><a href=\"http://w/\">.</a><a data-href='no'>.</a></html>"
